@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ampflow.llm import mixing, quality_rules, secrets, simhash
+from ampflow.llm import bpe, mixing, quality_rules, secrets, simhash
 from ampflow.llm.common import documents
 
 
@@ -14,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": lambda spark, d: secrets.report(documents(spark, d)),
         "op2_source_mix": lambda spark, d: mixing.report(documents(spark, d)),
+        "op3_bpe": lambda spark, d: bpe.encoded(documents(spark, d), public_tokenizers.path("byte_bpe_50k.json")),
         "op4_quality_rules": lambda spark, d: quality_rules.report(documents(spark, d)),
         "op6_simhash": lambda spark, d: simhash.report(documents(spark, d)),
     }
