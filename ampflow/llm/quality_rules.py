@@ -135,10 +135,11 @@ def cascade(docs: DataFrame, one_in: int = 64) -> list[Rule]:
     nothing in the sample come last, the cheap ones first.
     """
     every = rules()
-    sample = measured(docs.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)).where(~base_failed())
+    sample = measured(docs.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0))
+    still_in = lambda x: F.when(~base_failed(), x)  # noqa: E731  a filter would be pushed below the counts and repeat them
     sums = sample.agg(
-        F.sum(F.length(_c("text"))).alias("chars"),
-        *[F.sum(r.reject.cast("long")).alias(r.name) for r in every],
+        F.sum(still_in(F.length(_c("text")))).alias("chars"),
+        *[F.sum(still_in(r.reject.cast("long"))).alias(r.name) for r in every],
     ).first()
     chars = float(sums["chars"] or 1)
     rate = lambda r: (sums[r.name] or 0) / (r.scans * chars)
@@ -169,8 +170,13 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that no rule rejects, with their own columns."""
-    return judge(docs).where(_c("kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that no rule rejects, with their own columns.
+
+    The verdict passes through an explode, below which no filter is pushed: else the filter would
+    repeat the expressions of all counts.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return judge(docs).select(*own, F.explode(F.array(_c("kept"))).alias(PREFIX + "in")).where(_c("in")).select(*own)
 
 
 SQL = r"""
