@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ampflow.llm import bpe, mixing, quality_rules, secrets, simhash
-from ampflow.llm.common import documents
+from ampflow.llm import bpe, mixing, quality_classifier, quality_rules, repeats, secrets, simhash, sketch, toxicity
+from ampflow.llm.common import documents, labelled
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,9 +17,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_source_mix": lambda spark, d: mixing.report(documents(spark, d)),
         "op3_bpe": lambda spark, d: bpe.encoded(documents(spark, d), public_tokenizers.path("byte_bpe_50k.json")),
         "op4_quality_rules": lambda spark, d: quality_rules.report(documents(spark, d)),
+        "op5_quality_classifier": lambda spark, d: quality_classifier.report(documents(spark, d), labelled(spark, d)),
         "op6_simhash": lambda spark, d: simhash.report(documents(spark, d)),
+        "op7_fingerprints": lambda spark, d: sketch.report(documents(spark, d)),
+        "op8_toxicity": lambda spark, d: toxicity.report(documents(spark, d), labelled(spark, d)),
+        "op9_repeats": lambda spark, d: repeats.report(documents(spark, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.SQL}
+    return {"op4_quality_rules": quality_rules.SQL, "op9_repeats": repeats.SQL}
