@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ampflow.llm import bpe, mixing, quality_classifier, quality_rules, repeats, secrets, simhash, sketch, toxicity
+from ampflow.llm import bpe, mixing, pii, quality_classifier, quality_rules, repeats, secrets, simhash, sketch, toxicity
 from ampflow.llm.common import documents, labelled
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_fingerprints": lambda spark, d: sketch.report(documents(spark, d)),
         "op8_toxicity": lambda spark, d: toxicity.report(documents(spark, d), labelled(spark, d)),
         "op9_repeats": lambda spark, d: repeats.report(documents(spark, d)),
+        "op10_pii": lambda spark, d: pii.report(documents(spark, d)),
     }
 
 
