@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ampflow.llm.common import durable
+
 SHARE = 1 / 65536
 MEMO = 400_000
 NEVER = 1 << 60
@@ -355,7 +357,7 @@ def frequent_words(docs: DataFrame) -> DataFrame:
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary) -> bytes:
     """Compiles the frequent words of all documents; at most 1 / SHARE pieces come to the driver."""
-    reported = frequent_words(docs)
+    reported = durable(frequent_words(docs))
     total = reported.where("word is null").agg(F.sum("n").alias("total"))
     often = reported.where("word is not null").where(F.col("n") >= F.coalesce(total.scalar(), F.lit(0)) * SHARE)
     words = {
