@@ -24,7 +24,9 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import tempfile
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -40,16 +42,27 @@ from pyspark.sql import types as T
 from ampflow.llm.common import durable
 
 SHARE = 1 / 65536
-MEMO = 400_000
+MEMO = 600_000
 NEVER = 1 << 60
 LONG = 64
 
 #: Cuts that the pattern below makes in any case: before a space and a visible Latin character.
 CUT = regex.compile(r"(?= [!-~¡-¬®-ɏ])", regex.V1)
 #: Pieces for which every Unicode version agrees on letters, numbers and white space.
-PLAIN = regex.compile(r"[\n\r\t -~¡-¬®-ſ]*")
-# Fixed value: the split pattern of the byte-level vocabulary.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PLAIN = re.compile(r"[\n\r\t -~¡-¬®-ſ]*")
+
+
+def _plain_pattern() -> re.Pattern:
+    """The split pattern of the byte-level vocabulary (a fixed value), its classes written out for plain pieces."""
+    kinds: dict[str, list[str]] = {"L": [], "N": []}
+    for c in map(chr, range(33, 0x180)):
+        kinds.setdefault(unicodedata.category(c)[0], []).append(c)
+    letters, numbers = ("".join(kinds[k]) for k in "LN")
+    words = f" ?[{letters}]+| ?[{numbers}]+| ?[^\\s{letters}{numbers}]+"
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|{words}|\\s+(?!\\S)|\\s+")
+
+
+PLAIN_PATTERN = _plain_pattern()
 
 
 def byte_letters() -> list[str]:
@@ -292,8 +305,10 @@ class Encoder:
         return out
 
     def split(self, piece: str) -> list[bytes]:
+        if piece.isascii() and piece.isalpha() or piece[1:].isalpha() and piece[0] == " " and piece.isascii():
+            return [piece.encode()]
         if PLAIN.fullmatch(piece):
-            return [w.encode() for w in PATTERN.findall(piece)]
+            return [w.encode() for w in PLAIN_PATTERN.findall(piece)]
         return [bytes(self.byte_of[c] for c in w) for w, _ in self.split_rare(piece)]
 
     def learn(self, pieces: set[str]) -> None:
@@ -364,7 +379,7 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary) -> bytes:
         word.encode()
         for row in often.select("word").collect()
         if PLAIN.fullmatch(row.word)
-        for word in PATTERN.findall(row.word)
+        for word in PLAIN_PATTERN.findall(row.word)
     }
     ordered = sorted(words)
     return compile_lexicon(dict(zip(ordered, vocabulary.merge(ordered))))
