@@ -1,0 +1 @@
+"""The per-device operators over streams."""
