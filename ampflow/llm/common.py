@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where the expression of value stands in the plan once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def spans_of(text: Column, pattern: str, keep=None) -> Column:
     """Matches of a pattern, leftmost and not overlapping, as array<struct<start,end,match>>.
 
@@ -63,10 +69,9 @@ def spans_of(text: Column, pattern: str, keep=None) -> Column:
             grown = F.when(keep(x["match"]), grown).otherwise(acc["spans"])
         return F.struct(end.alias("at"), grown.alias("spans"))
 
-    pieces = F.zip_with(
-        found,
-        F.slice(F.split(text, pattern, -1), 1, F.size(found)),
-        lambda m, g: F.struct(m.alias("match"), g.alias("gap")),
+    pieces = F.filter(
+        F.zip_with(found, F.split(text, pattern, -1), lambda m, g: F.struct(m.alias("match"), g.alias("gap"))),
+        lambda p: p["match"].isNotNull(),  # the last gap has no match
     )
     first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
     return F.when(

@@ -29,7 +29,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampflow.llm.common import joined, spans_of, whole
+from ampflow.llm.common import joined, let, spans_of, whole
 
 # The base patterns.
 ASSIGN = (
@@ -98,22 +98,23 @@ def _encoding(token: Column) -> Column:
 
 def p_random(token: Column, encoding: Column) -> Column:
     """The combined p-value of the battery; small for a token that is not random."""
-    value = None
-    for name, alphabet in ALPHABETS.items():
-        plain = F.lower(token) if name == "hex" else F.translate(token, "-_=", "+/")
-        own = _battery(plain, alphabet)
-        value = F.when(encoding == name, own) if value is None else value.when(encoding == name, own)
-    return value
-
-
-def _battery(token: Column, alphabet: str) -> Column:
-    k = len(alphabet)
-    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
-    n = F.length(token).cast("double")
+    names = list(ALPHABETS)
+    alphabet = F.when(encoding == names[0], ALPHABETS[names[0]])
+    for name in names[1:]:
+        alphabet = alphabet.when(encoding == name, ALPHABETS[name])
+    plain = F.when(encoding == "hex", F.lower(token)).otherwise(F.translate(token, "-_=", "+/"))
+    return let(F.struct(plain.alias("token"), alphabet.alias("alphabet")), _battery)
+
+
+def _battery(c: Column) -> Column:
+    """c: struct<token,alphabet>."""
+    token = c["token"]
+    k, n = F.length(c["alphabet"]).cast("double"), F.length(token).cast("double")
+    codes = F.transform(F.split(token, ""), lambda x: F.instr(c["alphabet"], x).cast("double"))
     squares = F.aggregate(
-        F.array(*[F.lit(c) for c in alphabet]),
+        F.split(c["alphabet"], ""),
         F.lit(0.0),
-        lambda a, c: a + F.pow(F.length(token) - F.length(F.replace(token, c, F.lit(""))), F.lit(2)),
+        lambda a, x: a + F.pow(F.length(token) - F.length(F.replace(token, x, F.lit(""))), F.lit(2)),
     )
     chi = (squares * k / n - n - (k - 1)) / F.sqrt(2.0 * (k - 1) * (1 - 1 / n))
 
@@ -134,27 +135,26 @@ def _battery(token: Column, alphabet: str) -> Column:
 
     zero = F.struct(
         F.lit(-1.0).alias("last"),
-        *[F.lit(0.0).alias(c) for c in ("s1", "s2", "lag", "high", "runs", "first")],
+        *[F.lit(0.0).alias(f) for f in ("s1", "s2", "lag", "high", "runs", "first")],
     )
 
-    def finish(a: Column) -> Column:
+    def scores(a: Column) -> Column:
+        """array<struct<z,sides>> of the three tests; a test that has no spread counts as failed."""
         mean = a["s1"] / n
         centred = a["lag"] - mean * (2 * a["s1"] - a["first"] - a["last"]) + (n - 1) * mean * mean
-        spread = a["s2"] - n * mean * mean
-        serial = (F.try_divide(centred, spread) + 1 / n) * F.sqrt(n)
+        serial = (F.try_divide(centred, a["s2"] - n * mean * mean) + 1 / n) * F.sqrt(n)
         expected = 2 * a["high"] * (n - a["high"]) / n + 1
         deviation = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(0.0)))
         runs = F.try_divide(a["runs"] - expected, deviation)
-        tails = [
-            _upper_tail(chi),
-            F.coalesce(2 * _upper_tail(F.abs(runs)), F.lit(0.0)),
-            F.coalesce(2 * _upper_tail(F.abs(serial)), F.lit(0.0)),
-        ]
-        bounded = [F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12)) for p in tails]
-        cauchy = sum((F.tan((0.5 - p) * 3.141592653589793) for p in bounded[1:]), F.tan((0.5 - bounded[0]) * 3.141592653589793))
-        return 0.5 - F.atan(cauchy / 3) / 3.141592653589793
+        two_sided = [F.struct(F.coalesce(F.abs(z), F.lit(30.0)).alias("z"), F.lit(2.0).alias("sides")) for z in (runs, serial)]
+        return F.array(F.struct(chi.alias("z"), F.lit(1.0).alias("sides")), *two_sided)
 
-    return F.aggregate(codes, zero, step, finish)
+    def add(total: Column, test: Column) -> Column:
+        p = F.least(F.greatest(test["sides"] * _upper_tail(test["z"]), F.lit(1e-12)), F.lit(1 - 1e-12))
+        return total + F.tan((0.5 - p) * 3.141592653589793)
+
+    cauchy = F.aggregate(let(F.aggregate(codes, zero, step), scores), F.lit(0.0), add)
+    return 0.5 - F.atan(cauchy / 3) / 3.141592653589793
 
 
 def _candidates(text: Column, base: Column) -> Column:
@@ -163,15 +163,18 @@ def _candidates(text: Column, base: Column) -> Column:
     free = F.filter(
         tokens, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
     )
+    octave = lambda m: F.least(F.floor(F.log2(F.length(m))), F.lit(19)).cast("string")
+    cell = lambda m, e: F.least(F.floor(p_random(m, e) * CELLS), F.lit(CELLS - 1)).cast("int")
     return F.transform(
         free,
-        lambda t: F.struct(
-            t["start"].alias("start"),
-            t["end"].alias("end"),
-            F.concat_ws(
-                "/", _encoding(t["match"]), F.least(F.floor(F.log2(F.length(t["match"]))), F.lit(19)).cast("string")
-            ).alias("stratum"),
-            F.least(F.floor(p_random(t["match"], _encoding(t["match"])) * CELLS), F.lit(CELLS - 1)).cast("int").alias("cell"),
+        lambda t: let(
+            _encoding(t["match"]),
+            lambda e: F.struct(
+                t["start"].alias("start"),
+                t["end"].alias("end"),
+                F.concat_ws("/", e, octave(t["match"])).alias("stratum"),
+                cell(t["match"], e).alias("cell"),
+            ),
         ),
     )
 
