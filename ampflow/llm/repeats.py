@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampflow.llm.common import WHITE, WORD, whole
+from ampflow.llm.common import WHITE, WORD, durable, whole
 
 LEAST_WORDS = 8
 SPANS = "array<struct<start:int,end:int>>"
@@ -56,7 +56,7 @@ def units(docs: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, h, n_units, spans): spans to remove of every document, sorted and apart."""
-    cut = units(docs)
+    cut = durable(units(docs))  # digests and offsets only; three reads of them would cut every text three times
     rows = cut.select(
         "doc_id",
         "h",
