@@ -23,12 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampflow.llm.common import durable, n_words, whole
+from ampflow.llm.common import durable, let, n_words, whole
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
 BLOCK = 256
 ROUNDS = 10
+#: Of a target, how far the plain way of settling may stay off it; else so many documents are tried by force.
+NEAR, TRIED = 0.002, 12
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -181,7 +183,8 @@ def _settled(units: DataFrame, most: int) -> DataFrame:
 
     The roots leave a source off its target by half a document at most. One bounded block of
     the source, from its largest document to its smallest, takes or gives a copy wherever that
-    is at least as near.
+    is at least as near. If that stays further off than ``NEAR``, it starts again with one copy more or
+    less of each of its ``TRIED`` largest documents, and the nearest result counts.
     """
     rounded = durable(
         units.select(
@@ -205,21 +208,40 @@ def _settled(units: DataFrame, most: int) -> DataFrame:
         ).alias("block"),
     )
 
-    def step(acc: Column, x: Column) -> Column:
-        less = (acc["off"] * 2 >= x["size"]) & (x["copies"] > 0) & (x["size"] > 0)
-        more = (-acc["off"] * 2 >= x["size"]) & (x["copies"] < most) & (x["size"] > 0)
-        change = F.when(less, -1).when(more, 1).otherwise(0)
-        item = F.struct(*[(x[c] + change if c == "copies" else x[c]).alias(c) for c in fields])
-        return F.struct(
-            (acc["off"] + change * x["size"]).alias("off"), F.concat(acc["units"], F.array(item)).alias("units")
+    def settle(v: Column) -> Column:
+        """struct<miss,off,units>: variant 0 goes from the largest to the smallest; the others first change one of the largest by force."""
+        nth, sign = F.floor((v - 1) / 2).cast("int"), F.when(v % 2 == 1, -1).otherwise(1)
+        own = F.get("block", nth)
+        fits = F.coalesce((v > 0) & F.when(sign < 0, own["copies"] > 0).otherwise(own["copies"] < most), F.lit(False))
+        forced = F.struct(nth.alias("nth"), F.when(fits, sign).otherwise(0).alias("by"), F.coalesce(own["size"], F.lit(0)).alias("size"))
+
+        def run(force: Column) -> Column:
+            def step(acc: Column, x: Column) -> Column:
+                less = (acc["off"] * 2 >= x["size"]) & (x["copies"] > 0) & (x["size"] > 0)
+                more = (-acc["off"] * 2 >= x["size"]) & (x["copies"] < most) & (x["size"] > 0)
+                held = (force["by"] != 0) & (force["nth"] == F.size(acc["units"]))
+                free = F.when(held, 0).when(less, -1).when(more, 1).otherwise(0)
+                change = F.when(held, force["by"]).otherwise(free)
+                item = F.struct(*[(x[c] + change if c == "copies" else x[c]).alias(c) for c in fields])
+                return F.struct(
+                    (acc["off"] + free * x["size"]).alias("off"), F.concat(acc["units"], F.array(item)).alias("units")
+                )
+
+            zero = F.struct(
+                (F.col("off") + force["by"] * force["size"]).alias("off"),
+                F.array().cast("array<struct<doc_id:bigint,h:bigint,size:bigint,copies:int>>").alias("units"),
+            )
+            return F.aggregate("block", zero, step)
+
+        near = lambda a: (v == 0) & (F.abs(a["off"]) <= F.col("target") * NEAR)
+        return let(
+            let(forced, run),
+            lambda a: F.struct(F.when(near(a), -1.0).otherwise(F.abs(a["off"])).alias("miss"), v.alias("v"), a["units"].alias("units")),
         )
 
-    zero = F.struct(
-        F.col("off").alias("off"),
-        F.array().cast("array<struct<doc_id:bigint,h:bigint,size:bigint,copies:int>>").alias("units"),
-    )
+    variants = F.transform(F.sequence(F.lit(0), F.lit(2 * TRIED)), settle)
     settled = off.select(
-        "source", "source_size", "target", F.explode(F.aggregate("block", zero, step, lambda a: a["units"])).alias("u")
+        "source", "source_size", "target", F.explode(F.array_min(variants)["units"]).alias("u")
     ).select("u.doc_id", "source", "u.h", "u.size", "source_size", "target", "u.copies")
     return rounded.where(~F.col("settles")).drop("settles").select(*settled.columns).union(settled)
 
