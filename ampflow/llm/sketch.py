@@ -1,11 +1,14 @@
 """Document fingerprints: threshold-scaled sketches (built-in expressions only).
 
 The sketch of a text holds every hash of its five-word shingles that lies in the lowest
-``1 / SCALE`` of all hashes, whatever the text's length, and its lowest hash in any case. Because the threshold
+``1 / SCALE`` of all hashes, whatever the text's length. Because the threshold
 is fixed, a shingle is in both sketches or in neither; so the share of one sketch that
 another holds estimates how much of the one text the other contains, however unequal they are, and sketches of parts merge by
 union (``merged``). A text of one to four words is one shingle.
 
+A text without a hash below the threshold (a short one, as a rule) keeps all of its hashes instead. They are
+compared with all shingles of the other text and not with its sketch (``share_in``), so this share is exact.
+
 Defined results: a null text counts as empty; a text without words has an empty sketch, like (1.0)
 only to another empty one; documents stand in descending order of doc_id, null last, then of a hash of
 the text; repeated rows (one id, one text) are one place in that order and give repeated
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampflow.llm.common import WORD, durable, whole
+from ampflow.llm.common import WORD, durable, let, whole
 
 SHINGLE = 5
 SCALE = 8
@@ -25,33 +28,36 @@ SCALE = 8
 BELOW = -(1 << 63) + (1 << 64) // SCALE
 
 
+def _hashes(text: Column) -> Column:
+    """The hashes of a text's shingles, in order and repeated; none of a text without words."""
+
+    def shingles(words: Column) -> Column:
+        last = F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1))
+        each = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
+        return F.when(F.size(words) > 0, each).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)), shingles)
+
+
+def _sketch(hashes: Column) -> Column:
+    """Those below the threshold; all, where none is."""
+
+    def kept(low: Column) -> Column:
+        return F.array_sort(F.array_distinct(F.when(F.size(low) > 0, low).otherwise(hashes)))
+
+    return let(F.filter(hashes, lambda h: h < F.lit(BELOW)), kept)
+
+
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
     """The rows and a column of sorted, distinct 64-bit hashes."""
     own = [F.col(f"`{c}`") for c in df.columns]
-    words = df.select(
-        *own, F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)).alias("__words")
-    )
-    last = F.greatest(F.size("__words") - (SHINGLE - 1), F.lit(1))
-    hashed = words.select(
-        *own,
-        F.when(
-            F.size("__words") > 0,
-            F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("__words", i, SHINGLE))),
-        )
-        .otherwise(F.array().cast("array<bigint>"))
-        .alias("__hashes"),
-    )
-    low = F.filter("__hashes", lambda h: h < F.lit(BELOW))
-    some = F.when(F.size("__hashes") > 0, F.array(F.array_min("__hashes"))).otherwise(F.array().cast("array<bigint>"))
-    return hashed.select(*own, F.sort_array(F.array_union(low, some)).alias(name))
+    hashed = df.select(*own, _hashes(F.col(f"`{text}`")).alias("__hashes"))
+    return hashed.select(*own, _sketch(F.col("__hashes")).alias(name))
 
 
 def merged(sketches: Column) -> Column:
     """Of an array of sketches, the sketch of the texts together, up to shingles across their ends."""
-    every = F.array_distinct(F.flatten(sketches))
-    low = F.filter(every, lambda h: h < F.lit(BELOW))
-    some = F.when(F.size(every) > 0, F.array(F.array_min(every))).otherwise(F.array().cast("array<bigint>"))
-    return F.sort_array(F.array_union(low, some))
+    return _sketch(F.flatten(sketches))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -61,19 +67,29 @@ def containment(a: Column, b: Column) -> Column:
     )
 
 
+def is_whole(sketch: Column) -> Column:
+    """Whether a sketch holds all hashes of a text with words, as none lies below the threshold."""
+    return F.coalesce(F.get(sketch, 0) >= F.lit(BELOW), F.lit(False))
+
+
+def share_in(a: Column, b: Column, b_text: Column) -> Column:
+    """containment, from all shingles of b's text where a's sketch holds all of its own."""
+    return F.when(is_whole(a), containment(a, _hashes(b_text))).otherwise(containment(a, b))
+
+
 def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
 def next_of_each(keys: DataFrame) -> DataFrame:
-    """(doc_id, h, n_chars, next_id, next_h) of distinct (doc_id, h): the next in descending order, the first after the last.
+    """(doc_id, h, n_chars, few, next_id, next_h) of distinct (doc_id, h): the next in descending order, the first after the last.
 
     The ids are dealt by range; a window finds the next inside a range, and one row a range links
-    it to the next range. Only ids move, no texts.
+    it to the next range. Only ids and the sketches of ``few`` move, no texts.
     """
     order = [F.col("doc_id").desc_nulls_last(), F.col("h").desc()]
     ranged = durable(
-        keys.groupBy("doc_id", "h").agg(F.first("n_chars").alias("n_chars"))
+        keys.groupBy("doc_id", "h").agg(F.first("n_chars").alias("n_chars"), F.first("few").alias("few"))
         .repartitionByRange(*order)
         .withColumn("range", F.spark_partition_id())
     )
@@ -87,7 +103,7 @@ def next_of_each(keys: DataFrame) -> DataFrame:
         F.coalesce(F.lead(pair).over(by_range), F.first(pair).over(every)).alias("first"),
     )
     ends = linked.where("next is null").join(firsts, F.col("range") == F.col("__range"))
-    columns = ["doc_id", "h", "n_chars"]
+    columns = ["doc_id", "h", "n_chars", "few"]
     return linked.where("next is not null").select(*columns, "next.*").union(ends.select(*columns, "first.*"))
 
 
@@ -95,7 +111,10 @@ def report(docs: DataFrame) -> DataFrame:
     texts = with_sketch(
         docs.select("doc_id", whole("text").alias("text")).withColumn("h", F.xxhash64("text")), "text", "sketch"
     )
-    light = docs.select("doc_id", F.xxhash64(whole("text")).alias("h"), F.length(whole("text")).alias("n_chars"))
+    # A whole sketch goes to the next text's row, where it is compared; that of any other text is read from its own row.
+    light = texts.select(
+        "doc_id", "h", F.length("text").alias("n_chars"), F.when(is_whole(F.col("sketch")), F.col("sketch")).alias("few")
+    )
     following = durable(next_of_each(light))
     other = texts.select(
         F.col("doc_id").alias("o_id"), F.col("h").alias("o_h"), F.col("text").alias("o_text"), F.col("sketch").alias("o_sketch")
@@ -108,6 +127,7 @@ def report(docs: DataFrame) -> DataFrame:
             F.col("h").alias("f_h"),
             F.substring("o_text", F.lit(1), half).alias("head"),
             F.col("o_sketch").alias("next_sketch"),
+            F.when(F.col("few").isNotNull(), share_in(F.col("few"), F.col("o_sketch"), F.col("o_text"))).alias("few_in_next"),
         )
         .dropDuplicates(["f_h", "f_id"])
     )
@@ -118,6 +138,9 @@ def report(docs: DataFrame) -> DataFrame:
         n.cast("long").alias("n_chars"),
         "sketch",
         "next_sketch",
+        F.coalesce("few_in_next", containment(F.col("sketch"), F.col("next_sketch"))).alias("near_next"),
+        share_in(F.col("next_sketch"), F.col("sketch"), F.col("text")).alias("next_in_own"),
+        "text",
         F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 2)).cast("int")), "head").alias("edited"),
     )
     both = with_sketch(edited, "edited", "edited_sketch")
@@ -127,8 +150,8 @@ def report(docs: DataFrame) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("sketch")).alias("fingerprint"),
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-        containment(F.col("edited_sketch"), F.col("sketch")).alias("edited_in_own"),
-        containment(F.col("next_sketch"), F.col("sketch")).alias("next_in_own"),
+        share_in(F.col("sketch"), F.col("edited_sketch"), F.col("edited")).alias("near_edited"),
+        "near_next",
+        share_in(F.col("edited_sketch"), F.col("sketch"), F.col("text")).alias("edited_in_own"),
+        "next_in_own",
     )

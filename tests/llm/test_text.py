@@ -228,6 +228,30 @@ def test_containment_of_unequal_documents(spark):
     assert got.ab == 1.0 and got.ba == pytest.approx(0.25, abs=0.07)
 
 
+def test_a_short_text_inside_a_long_one(spark):
+    rng = random.Random(5)
+    short = [[f"w{rng.randint(0, 10**6)}" for _ in range(6 + k % 15)] for k in range(60)]
+    rows = []
+    for k, words in enumerate(short):  # in descending order of doc_id, every second text is inside its next
+        around = [f"w{rng.randint(0, 10**6)}" for _ in range(600)]
+        rows += [(2 * k + 1, " ".join(words)), (2 * k, " ".join(around[:300] + words + around[300:]))]
+    got = {r.doc_id: r for r in sketch.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[2 * k + 1].near_next for k in range(60)] == [1.0] * 60
+    # An only text is its own next; two halves have all the parts of each other that they share.
+    pair = [(2, " ".join(short[0])), (1, " ".join(short[0] + short[1]))]
+    two = {r.doc_id: r for r in sketch.report(spark.createDataFrame(pair, "doc_id long, text string")).collect()}
+    assert two[2].near_next == 1.0 and two[1].next_in_own == 1.0
+
+
+def test_sketches_of_short_parts_merge(spark):
+    rng = random.Random(6)
+    rows = [(" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(5)), " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(5))) for _ in range(80)]
+    both = sketch.with_sketch(sketch.with_sketch(spark.createDataFrame(rows, "a string, b string"), "a", "sa"), "b", "sb")
+    for r in both.selectExpr("sa", "sb", "array(sa, sb) AS s").select("sa", "sb", sketch.merged("s").alias("m")).collect():
+        low = [h for h in r.sa + r.sb if h < sketch.BELOW]
+        assert r.m == sorted(set(low or r.sa + r.sb))
+
+
 @pytest.mark.parametrize("name,column,of,rest", [("quality", "quality", 3, 1), ("toxicity", "toxic", 5, 0)])
 def test_classifiers_on_what_they_have_not_seen(spark, name, column, of, rest):
     folder = "/root/testdata/sf0.01"
