@@ -44,7 +44,8 @@ NET = {
     "ssn": re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
     "iban": re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?"),
 }
-NAME = re.compile(r"([A-Z][a-z]+) [A-Z][a-z]+")
+#: Takes one letter and looks ahead at the rest, so a name behind another capitalised word is tried too.
+NAME = re.compile(r"[A-Z](?=([a-z]+) [A-Z][a-z]+(?P<end>))")
 DIGIT = re.compile(r"[0-9]")
 
 #: Gazetteers: common given names and ends of host names.
@@ -119,9 +120,9 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     for rank, kind in enumerate(KINDS):
         if kind == "name":
             found |= {
-                (m.start(), rank, m.end())
+                (m.start(), rank, m.end("end"))
                 for m in NAME.finditer(text)
-                if m[1] in GIVEN or TITLES.search(text, max(0, m.start() - 12), m.start())
+                if m[0] + m[1] in GIVEN or TITLES.search(text, max(0, m.start() - 12), m.start())
             }
         elif kind == "email":
             if " at " in text or "(at)" in text or "[at]" in text:

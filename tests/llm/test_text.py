@@ -296,6 +296,15 @@ def test_pii_base(odd, docs):
         assert sorted(r.base_sha256 for r in pii.report(df).collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("before,name", [("Dear ", "John Smith"), ("Frau ", "Ursula Meyer"), ("Dr ", "Anna Berg"), ("Then Herr ", "Weber Lang")])
+def test_names_behind_capitalised_words_are_candidates(before, name):
+    text = f"{before}{name} wrote."
+    span = (len(before), pii.KINDS.index("name"), len(before) + len(name))
+    assert span in pii.candidates(text)
+    near = pii.votes("name", *pii.around(text, span[0], span[2]))[3]
+    assert near == (0 if before == "Dear " else 1)
+
+
 def test_pipeline_stage_by_stage(spark, docs):
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["quality_rules", "near_duplicates", "secret_scan", "source_mix", "bpe_encoding"]
