@@ -16,8 +16,8 @@ from ampflow.sources import messages
 
 Query = Callable[[SparkSession, str], DataFrame]
 PLAIN = ts.PLAIN
-#: Few points a trip here, so thinning starts early.
-TRACK_POINTS = 4
+#: Positions that the road matcher takes of a trip.
+TRACK_POINTS = 50
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -96,6 +96,30 @@ def _boosted(t: DataFrame) -> DataFrame:
     return trained.model.transform(test).select("device_id", "ts", features.TARGET, "prediction")
 
 
+def _boosted_grid(t: DataFrame, grid: dict[str, tuple] = models.GRID) -> DataFrame:
+    """Held-out predictions of boosted trees with the best settings of a grid over expanding folds."""
+    rows = features.with_split(_soc(t))
+    trained = models.train_trees(rows.where("is_test = 0"), grid)
+    test = models.with_missing(rows.where("is_test = 1"))
+    return trained.model.transform(test).select("device_id", "ts", features.TARGET, "prediction")
+
+
+def _sequence_model(t: DataFrame) -> DataFrame:
+    """Held-out predictions of the sequence model."""
+    rows = features.with_split(_soc(t))
+    train = rows.where("is_test = 0")
+    listed = lambda part: features.sequences(features.standardised(train, part))
+    model = models.train_sequences(listed(train))
+    test = models.flattened(listed(rows.where("is_test = 1")))
+    return model.transform(test).select("device_id", "ts", features.TARGET, "prediction")
+
+
+def _scored_anomalies(t: DataFrame) -> DataFrame:
+    """Battery anomalies whose confidence is that of the isolation forest."""
+    rows = forest.confidence(anomaly.prepared(t, DURATIONS), anomaly.SCORED)
+    return anomaly.flags(rows, F.col("confidence"))
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Callable[[DataFrame], DataFrame]] = {
         # Ingestion
@@ -179,8 +203,11 @@ def queries() -> dict[str, Query]:
         .where(anomaly.soh_dropped())
         .select("device_id", "ts", "battery_soh_pct", "soh_max"),
         "bms_anomalies": lambda t: anomaly.flags(anomaly.prepared(t, DURATIONS), F.lit(0.5)),
+        "bms_anomalies_scored": _scored_anomalies,
         "isolation_confidence": _forest_confidence,
         "boosted_trees_predictions": _boosted,
+        "boosted_trees_grid_predictions": _boosted_grid,
+        "sequence_model_predictions": _sequence_model,
     }
     found = {name: _over(f) for name, f in q.items()}
     found["haversine_nations"] = _haversine_table

@@ -200,3 +200,11 @@ def test_csv_round_trip_and_payload_column(spark, tmp_path):
 def test_html_report_escapes(spark):
     page = sinks.html_report("R", {"part": spark.createDataFrame([("<b>", None)], "a string, b string")})
     assert "&lt;b&gt;" in page and "<td></td>" in page
+
+
+@pytest.mark.parametrize("n,most", [(3, 4), (4, 4), (5, 4), (37, 4), (120, 50)])
+def test_tracks_are_thinned_at_even_steps(spark, n, most):
+    rows = [("a", "a_1", i, 11.0 + i / 1000, 76.0) for i in range(n)]
+    points = spark.createDataFrame(rows, f"device_id string, trip_id string, {ts.KEY} long, gps_lat double, gps_lon double")
+    kept = sorted({round(j * (n - 1) / (most - 1)) for j in range(most)}) if n > most else range(n)
+    assert [p.lat for p in trips.tracks(points, most).first().points] == [rows[i][3] for i in kept]

@@ -1,5 +1,6 @@
 import pytest
 
+from ampflow.operators.features import TARGET
 from ampflow.plans import oracle, queries
 from tests.compare import same
 
@@ -37,3 +38,23 @@ def test_entry_gives_trips(spark):
     import __spark_entry__
 
     assert "net_tco2e" in __spark_entry__.entry(spark).columns
+
+
+def test_tracks_keep_more_than_a_few_positions(spark):
+    found = [r.n_points for r in QUERIES["trip_track_km"](spark, "/root/testdata/sf0.01").collect()]
+    assert max(found) > 4 and max(found) <= 50
+
+
+def test_scored_anomalies_carry_the_confidence_of_the_forest(spark):
+    scored = QUERIES["bms_anomalies_scored"](spark, FOLDER)
+    of = {(r.device_id, r.ts): r.confidence for r in QUERIES["isolation_confidence"](spark, FOLDER).collect()}
+    found = [(r.confidence_score, of[r.device_id, r.ts]) for r in scored.collect()]
+    assert len({c for c, _ in found}) > 1 and all(abs(a - b) <= 1e-4 for a, b in found)
+
+
+def test_models_are_reached_by_queries(spark):
+    few = queries._boosted_grid(queries.telemetry(spark, FOLDER), {"stepSize": (0.1,), "maxDepth": (2,), "maxIter": (1, 2)})
+    for found in (few, QUERIES["sequence_model_predictions"](spark, FOLDER)):
+        assert found.columns == ["device_id", "ts", TARGET, "prediction"]
+        assert found.where("prediction is null").count() == 0
+    assert "boosted_trees_grid_predictions" in QUERIES
