@@ -36,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document of the mix, as counts and digests."""
-    return bpe.encoded(docs, public_tokenizers.path(TOKENIZER))
+    """The token ids of each document of the mix, with their counts and digests."""
+    return bpe.encoded(docs, public_tokenizers.path(TOKENIZER), with_ids=True).drop("decoded")
 
 
 STAGES = [

@@ -322,5 +322,10 @@ def test_pipeline_stage_by_stage(spark, docs):
     assert stages["bpe_encoding"](spark, mixed, FOLDER).count() == mixed.count()
 
 
+def test_the_last_stage_holds_the_token_ids(odd):
+    found = corpus_pipeline.encode_texts(None, odd, FOLDER).collect()
+    assert any(r.ids for r in found) and all(len(r.ids) == r.n_tokens and sha(",".join(map(str, r.ids))) == r.ids_sha256 for r in found)
+
+
 def test_names_of_the_queries():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{n}" for n in range(1, 11)]
