@@ -1,18 +1,18 @@
 """Byte-level BPE encoding and decoding over a minimal acyclic transducer of frequent words.
 
-1. Frequent words: every document is cut into words; each Arrow batch reports the words that
-   make up at least ``SHARE`` of its own words, and Spark sums those reports. A word with that
-   share of all words has it in at least one batch, and at most 1 / SHARE words can pass the sum, so
-   the lexicon is bounded by construction, whatever the input.
-2. Lexicon: the driver compiles them, with their ids, into a minimal acyclic transducer: equal
-   suffixes share states, and the numbers on the edges sum to the word's place in the id table. It is
-   one file of flat arrays; Spark hands it to the executors as it hands out any file, and
-   each worker maps it into memory, so the workers of a machine share its pages.
-3. Encoding: a text is cut where the tokenizer's pattern always cuts (before a space that a visible
-   character follows). A worker resolves each distinct piece of a batch once: the words of the lexicon in
-   one vectorised walk, all others by the exact merges in order of rank.
-
-Frequent words only save work: the ids are those of the merges for every word.
+1. Frequent words: every document is cut into pieces; a task counts them, and whenever it holds
+   ``HELD`` distinct ones it reports those that make up at least ``SHARE`` of what it has counted since its last
+   report. Spark sums the reports. A piece with that share of all pieces has it in at least one report, and
+   at most 1 / SHARE pieces can pass the sum, so the lexicon is bounded by construction, whatever the input.
+2. Lexicon: the driver compiles their words, with their ids, into a minimal acyclic transducer: equal
+   suffixes share states, and the numbers on the edges sum to the word's place in the id table. The
+   transducer and the merge tables are files of flat arrays; Spark hands them to the executors as it hands out any file,
+   and each worker maps them into memory, so the workers of a machine share their pages.
+3. Encoding: a text is cut into words by the tokenizer's pattern. A worker resolves each distinct word of a group of
+   texts once: the words of the lexicon in one vectorised walk, all others by the exact merges in order of rank.
+
+Frequent words only save work: the ids are those of the merges for every word. A worker remembers at most
+``MEMO_BYTES`` of short words; longer ones are resolved where they occur.
 
 Defined results: a null text counts as empty and has no ids; null doc_ids and repeated rows are
 ordinary rows; an empty table gives an empty result; other columns are ignored.
@@ -20,34 +20,44 @@ ordinary rows; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import atexit
+import functools
 import hashlib
 import heapq
 import json
 import os
 import re
+import shutil
 import tempfile
 import unicodedata
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import regex
+import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ampflow.llm.common import durable
 
 SHARE = 1 / 65536
-MEMO = 600_000
+#: Distinct pieces that a task counts before it reports.
+HELD = 200_000
+#: Estimated bytes of words that a worker remembers, and the characters of the longest of them.
+MEMO_BYTES = 96 << 20
+SHORT = 48
+#: Texts are encoded in groups of so many, or of about so many characters.
+TEXTS, CHARACTERS = 256, 1 << 20
 NEVER = 1 << 60
 LONG = 64
 
-#: Cuts that the pattern below makes in any case: before a space and a visible Latin character.
-CUT = regex.compile(r"(?= [!-~¡-¬®-ɏ])", regex.V1)
+#: A space is a cut if a character follows that every Unicode version agrees is visible: no white space, control or format character.
+HIDDEN = r"\x00-\x20\x7f-\xa0\xad\u0600-\u0605\u061c\u06dd\u070f\u08e2\u1680\u180b-\u180f\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff\ufff0-\uffff\U000e0000-\U0010ffff"
+CUT = re.compile(f" (?=[^{HIDDEN}])")
+#: A text with this has a space that is no cut.
+UNCUT = re.compile(f" (?:[{HIDDEN}]|\\Z)")
 #: Pieces for which every Unicode version agrees on letters, numbers and white space.
 PLAIN = re.compile(r"[\n\r\t -~¡-¬®-ſ]*")
 
@@ -58,8 +68,8 @@ def _plain_pattern() -> re.Pattern:
     for c in map(chr, range(33, 0x180)):
         kinds.setdefault(unicodedata.category(c)[0], []).append(c)
     letters, numbers = ("".join(kinds[k]) for k in "LN")
-    words = f" ?[{letters}]+| ?[{numbers}]+| ?[^\\s{letters}{numbers}]+"
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|{words}|\\s+(?!\\S)|\\s+")
+    endings = "'s|'t|'re|'ve|'m|'ll|'d"
+    return re.compile(f" ?[{letters}]++| ?[{numbers}]++|{endings}| ?[^\\s{letters}{numbers}]++|\\s+(?!\\S)|\\s+")
 
 
 PLAIN_PATTERN = _plain_pattern()
@@ -73,34 +83,70 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-def pieces_of(text: str) -> list[str]:
-    pieces = CUT.split(text)
-    return pieces if pieces[0] else pieces[1:]
+def keys_of(text: str) -> list[str]:
+    """Keys of the pieces of a text.
+
+    A piece that begins with the space of its cut has the rest of it as key; the first piece of a text, if it
+    begins otherwise, has a space before it in its key. So most keys are what ``split`` gives.
+    """
+    keys = CUT.split(text) if UNCUT.search(text) else text.split(" ")
+    if keys[0]:
+        keys[0] = " " + keys[0]
+        return keys
+    return keys[1:]
+
+
+def piece_of(key: str) -> str:
+    return key[1:] if key[0] == " " else " " + key
+
+
+def _packed(arrays: list) -> bytes:
+    """Flat arrays of 64-bit numbers, after their lengths."""
+    parts = [np.asarray(x, "<i8") for x in arrays]
+    return np.array([len(x) for x in parts], "<i8").tobytes() + b"".join(x.tobytes() for x in parts)
+
+
+def _mapped(path: str, n: int) -> list[np.ndarray]:
+    data = np.memmap(path, dtype="<i8", mode="r")
+    ends = np.cumsum([n, *data[:n]]).tolist()
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
 class Vocabulary:
-    """Merges and byte strings of a byte-level BPE tokenizer file."""
+    """Merges and byte strings of a byte-level BPE tokenizer."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        """path: a file that ``compiled`` made."""
+        first, self.pair_keys, self.pair_ranks, self.new_of_rank, ids, ends, data = _mapped(path, 7)
+        self.first = np.array(first)
+        every = data.astype(np.uint8).tobytes()
+        self.bytes = {i: every[a:b] for i, a, b in zip(ids.tolist(), [0, *ends.tolist()], ends.tolist())}
+
+    @staticmethod
+    def compiled(spec: dict) -> bytes:
+        """The arrays of a tokenizer file's contents."""
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         ids = spec["model"]["vocab"]
-        self.special = {}
-        for added in spec["added_tokens"]:
-            if added["lstrip"] or added["rstrip"] or added["single_word"] or added["normalized"]:
-                raise ValueError(f"added token {added['content']!r} has options that are not supported")
-            self.special[added["content"]] = added["id"]
-        self.first = [ids[c] for c in byte_letters()]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
-        pairs = sorted((a << 32 | b, rank, new) for (a, b), (rank, new) in self.merges.items())
-        self.pair_keys, self.pair_ranks, _ = (np.array(x, np.int64) for x in zip(*pairs))
-        self.new_of_rank = np.array([new for _, new in sorted(self.merges.values())], np.int64)
-        self.bytes = {i: bytes(byte_of[c] for c in s) for s, i in ids.items()}
-        self.bytes |= {i: s.encode() for s, i in self.special.items()}
+        merges = [pair.split(" ") if isinstance(pair, str) else pair for pair in spec["model"]["merges"]]
+        pairs = sorted((ids[a] << 32 | ids[b], rank) for rank, (a, b) in enumerate(merges))
+        special = special_of(spec)
+        strings = {i: bytes(byte_of[c] for c in s) for s, i in ids.items() if s not in special}
+        strings |= {i: s.encode() for s, i in special.items()}
+        return _packed(
+            [
+                [ids[c] for c in byte_letters()],
+                [p[0] for p in pairs],
+                [p[1] for p in pairs],
+                [ids[a + b] for a, b in merges],
+                list(strings),
+                np.cumsum([len(s) for s in strings.values()]),
+                np.frombuffer(b"".join(strings.values()), np.uint8),
+            ]
+        )
+
+    @functools.cached_property
+    def rank_of(self) -> dict[int, int]:
+        return dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist()))
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word: again and again the leftmost pair of the lowest rank is merged.
@@ -111,12 +157,12 @@ class Vocabulary:
         groups: dict[int, list[int]] = {}
         for k, word in enumerate(words):
             if len(word) > LONG:
-                out[k] = self._merge_long([self.first[b] for b in word])
+                out[k] = self._merge_long(self.first[np.frombuffer(word, np.uint8)].tolist())
             elif word:
                 groups.setdefault(-(-len(word) // 4), []).append(k)
         for members in groups.values():
-            for at in range(0, len(members), 1 << 16):
-                part = members[at : at + (1 << 16)]
+            for at in range(0, len(members), 1 << 12):
+                part = members[at : at + (1 << 12)]
                 for k, ids in zip(part, self._merge_short([words[k] for k in part])):
                     out[k] = ids
         return out
@@ -130,7 +176,7 @@ class Vocabulary:
         lengths = np.array([len(w) for w in words])
         width = int(lengths.max()) + 1  # a column of -1 at the end
         ids = np.full((len(words), width), -1, np.int64)
-        ids[np.arange(width) < lengths[:, None]] = np.array(self.first)[np.frombuffer(b"".join(words), np.uint8)]
+        ids[np.arange(width) < lengths[:, None]] = self.first[np.frombuffer(b"".join(words), np.uint8)]
         ranks = self._ranks(ids[:, :-1], ids[:, 1:])
         live = np.arange(len(words))
         columns = np.arange(width)
@@ -157,22 +203,22 @@ class Vocabulary:
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same for a long word, with a heap over linked symbols: n log n."""
-        n, merges = len(ids), self.merges
+        n, rank_of, new_of_rank = len(ids), self.rank_of, self.new_of_rank
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = []
 
         def offer(i: int) -> None:
-            if i >= 0 and after[i] < n and (found := merges.get((ids[i], ids[after[i]]))):
-                heapq.heappush(heap, (found[0], i, ids[i], ids[after[i]], found[1]))
+            if i >= 0 and after[i] < n and (rank := rank_of.get(ids[i] << 32 | ids[after[i]])) is not None:
+                heapq.heappush(heap, (rank, i))
 
         for i in range(n):
             offer(i)
         while heap:
-            _, i, left, right, new = heapq.heappop(heap)
+            rank, i = heapq.heappop(heap)
             j = after[i]
-            if not alive[i] or j >= n or ids[i] != left or ids[j] != right:
+            if not alive[i] or j >= n or rank_of.get(ids[i] << 32 | ids[j]) != rank:
                 continue
-            ids[i], alive[j], after[i] = new, False, after[j]
+            ids[i], alive[j], after[i] = int(new_of_rank[rank]), False, after[j]
             if after[j] < n:
                 before[after[j]] = i
             offer(before[i])
@@ -232,28 +278,23 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
             targets.append(place[t])
             skips.append(count)
             count += below[t]
-    ends = np.cumsum([0, *(len(entries[w]) for w in words)])
-    arrays = [
-        np.array(keys, "<i8"),
-        np.array(targets, "<i8"),
-        np.array(skips, "<i8"),
-        np.array([final[s] for s in used], "<i8"),
-        ends.astype("<i8"),
-        np.array([i for w in words for i in entries[w]], "<i8"),
-    ]
-    return np.array([len(a) for a in arrays], "<i8").tobytes() + b"".join(a.tobytes() for a in arrays)
+    return _packed(
+        [
+            keys,
+            targets,
+            skips,
+            [final[s] for s in used],
+            np.cumsum([0, *(len(entries[w]) for w in words)]),
+            [i for w in words for i in entries[w]],
+        ]
+    )
 
 
 class Lexicon:
     """A compiled lexicon, mapped into memory."""
 
     def __init__(self, path: str):
-        data = np.memmap(path, dtype="<i8", mode="r")
-        at, parts = 6, []
-        for length in data[:6].tolist():
-            parts.append(data[at : at + length])
-            at += length
-        self.keys, self.targets, self.skips, self.final, self.ends, self.ids = parts
+        self.keys, self.targets, self.skips, self.final, self.ends, self.ids = _mapped(path, 6)
 
     def find(self, words: list[bytes]) -> list[list[int] | None]:
         """The ids of each word, or None; all words walk together, a byte a step."""
@@ -281,93 +322,131 @@ class Lexicon:
         return found
 
 
+def special_of(spec: dict) -> dict[str, int]:
+    """The added tokens of a tokenizer file's contents; only plain ones are supported."""
+    found = {}
+    for added in spec["added_tokens"]:
+        if added["lstrip"] or added["rstrip"] or added["single_word"] or added["normalized"]:
+            raise ValueError(f"added token {added['content']!r} has options that are not supported")
+        found[added["content"]] = added["id"]
+    return found
+
+
 class Encoder:
-    """Encodes whole texts; each distinct piece and word is resolved once while it is remembered."""
+    """Encodes whole texts; each distinct word of a group of texts is resolved once, and short ones are remembered."""
 
-    def __init__(self, tokenizer_path: str, lexicon_path: str):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, special: dict[str, int]):
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.vocabulary = Vocabulary(tokenizer_path)
-        self.lexicon = Lexicon(lexicon_path)
+        self.vocabulary, self.lexicon, self.special = vocabulary, lexicon, special
         self.split_rare = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-        self.byte_of = {c: b for b, c in enumerate(byte_letters())}
-        special = sorted(self.vocabulary.special, key=len, reverse=True)
-        self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.pieces: dict[str, tuple[str, int, bytes]] = {}
-        self.words: dict[bytes, list[int]] = {}
-
-    def cut(self, text: str) -> list[str]:
-        if self.special is None or not self.special.search(text):
-            return pieces_of(text)
-        out = []
-        for part in self.special.split(text):
-            out += [part] if part in self.vocabulary.special else pieces_of(part)
+        longest = sorted(special, key=len, reverse=True)
+        self.parts = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if special else None
+        self.digits = [str(i) for i in range(1 + max(vocabulary.bytes))]
+        self.ids_of: dict[str, str] = {}
+        self.bytes_of: dict[str, bytes] = {}
+        self.before: tuple[dict[str, str], dict[str, bytes]] = {}, {}
+        self.held = 0
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text, in order; nothing is left out between them."""
+        if self.parts is not None and self.parts.search(text):
+            parts = self.parts.split(text)
+            return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else self.plain_words(part))]
+        return self.plain_words(text)
+
+    def plain_words(self, text: str) -> list[str]:
+        if PLAIN.fullmatch(text):
+            return PLAIN_PATTERN.findall(text)
+        out: list[str] = []
+        for piece in map(piece_of, keys_of(text)):
+            if PLAIN.fullmatch(piece):
+                out += PLAIN_PATTERN.findall(piece)
+            else:
+                out += [piece[a:b] for _, (a, b) in self.split_rare(piece)]
         return out
 
-    def split(self, piece: str) -> list[bytes]:
-        if piece.isascii() and piece.isalpha() or piece[1:].isalpha() and piece[0] == " " and piece.isascii():
-            return [piece.encode()]
-        if PLAIN.fullmatch(piece):
-            return [w.encode() for w in PLAIN_PATTERN.findall(piece)]
-        return [bytes(self.byte_of[c] for c in w) for w, _ in self.split_rare(piece)]
-
-    def learn(self, pieces: set[str]) -> None:
-        """Resolves pieces that are not remembered."""
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
-        if len(self.words) > MEMO:
-            self.words.clear()
-        special = self.vocabulary.special
-        new = [p for p in pieces if p not in self.pieces]
-        parts = [[] if p in special else self.split(p) for p in new]
-        unseen = list({w for ws in parts for w in ws if w not in self.words})
-        known = self.lexicon.find(unseen)
-        self.words.update((w, ids) for w, ids in zip(unseen, known) if ids is not None)
-        rest = [w for w, ids in zip(unseen, known) if ids is None]
-        self.words.update(zip(rest, self.vocabulary.merge(rest)))
-        of = self.vocabulary.bytes
-        for piece, ws in zip(new, parts):
-            ids = [special[piece]] if piece in special else [i for w in ws for i in self.words[w]]
-            self.pieces[piece] = (",".join(map(str, ids)), len(ids), b"".join([of[i] for i in ids]))
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
-        """(decimal ids joined by commas, their number, the bytes they decode to) of each text."""
-        for at in range(0, len(texts), 256):
-            cut = [self.cut(t) for t in texts[at : at + 256]]
-            self.learn({p for pieces in cut for p in pieces})
-            for pieces in cut:
-                parts = [self.pieces[p] for p in pieces]
-                yield ",".join([p[0] for p in parts]), sum([p[1] for p in parts]), b"".join([p[2] for p in parts])
+    def learn(self, words: list[str]) -> None:
+        """Resolves words that are not remembered."""
+        known = [w for w in words if w not in self.special]
+        data = [w.encode() for w in known]
+        found = self.lexicon.find(data)
+        rest = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(rest, self.vocabulary.merge([data[k] for k in rest])):
+            found[k] = ids
+        known += [w for w in words if w in self.special]
+        found += [[self.special[w]] for w in words if w in self.special]
+        of, digits = self.vocabulary.bytes, self.digits
+        for word, ids in zip(known, found):
+            text = ",".join([digits[i] for i in ids])
+            self.ids_of[word] = text
+            self.bytes_of[text] = b"".join([of[i] for i in ids])
+            self.held += _size(word, text)
+
+    def recall(self, words: set[str]) -> None:
+        """Takes over what was remembered before the last change of memories."""
+        ids_of, bytes_of = self.before
+        for word in words.intersection(ids_of):
+            text = ids_of.pop(word)
+            self.ids_of[word], self.bytes_of[text] = text, bytes_of.pop(text)
+            self.held += _size(word, text)
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(decimal ids joined by commas, the bytes they decode to) of each text of a group."""
+        if self.held > MEMO_BYTES // 2:  # what is not met again until the next change is forgotten
+            self.before, self.ids_of, self.bytes_of, self.held = (self.ids_of, self.bytes_of), {}, {}, 0
+        cut = [self.words(t) for t in texts]
+        needed = {w for words in cut for w in words}
+        self.recall(needed.difference(self.ids_of))
+        new = list(needed.difference(self.ids_of))
+        self.learn(new)
+        for words in cut:
+            found = list(map(self.ids_of.__getitem__, words))
+            yield ",".join(found), b"".join(map(self.bytes_of.__getitem__, found))
+        for word in new:
+            if len(word) > SHORT:
+                text = self.ids_of.pop(word)
+                del self.bytes_of[text]
+                self.held -= _size(word, text)
+
+
+def _size(word: str, text: str) -> int:
+    """About the bytes that a remembered word takes."""
+    return 280 + 2 * len(word) + len(text)
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def _encoder(tokenizer: str, lexicon: str) -> Encoder:
+def _encoder(merges: str, lexicon: str, special: dict[str, int]) -> Encoder:
     """The worker's encoder; the files are those that Spark handed out under these names."""
-    if (tokenizer, lexicon) not in _ENCODERS:
+    if (merges, lexicon) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[tokenizer, lexicon] = Encoder(SparkFiles.get(tokenizer), SparkFiles.get(lexicon))
-    return _ENCODERS[tokenizer, lexicon]
+        _ENCODERS[merges, lexicon] = Encoder(Vocabulary(SparkFiles.get(merges)), Lexicon(SparkFiles.get(lexicon)), special)
+    return _ENCODERS[merges, lexicon]
 
 
 def frequent_words(docs: DataFrame) -> DataFrame:
-    """(word, n): the words that make up a share of SHARE or more, with the counts of the batches that report them."""
+    """(word, n): the short pieces that make up a share of SHARE or more of a report, with their counts there."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen: Counter = Counter()
-            for text in batch["text"]:
-                if text:
-                    seen.update(pieces_of(text))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def report(seen: Counter) -> pa.RecordBatch:
             total = seen.total()
-            often = [(w, n) for w, n in seen.items() if n >= total * SHARE]
-            words = pd.DataFrame(often, columns=["word", "n"])
-            yield pd.concat([words, pd.DataFrame({"word": [None], "n": [total]})])
+            often = [(piece_of(k), n) for k, n in seen.items() if n >= total * SHARE and len(k) <= SHORT]
+            words = pa.array([w for w, _ in often] + [None], pa.string())
+            return pa.record_batch([words, pa.array([n for _, n in often] + [total], pa.int64())], ["word", "n"])
+
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                seen.update(keys_of(text.as_py() or ""))
+                if len(seen) > HELD:
+                    yield report(seen)
+                    seen.clear()
+        yield report(seen)
 
     schema = T.StructType().add("word", T.StringType()).add("n", T.LongType())
-    reported = docs.select("text").mapInPandas(count, schema).groupBy("word").agg(F.sum("n").alias("n"))
-    return reported
+    return docs.select("text").mapInArrow(count, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary) -> bytes:
@@ -385,38 +464,72 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary) -> bytes:
     return compile_lexicon(dict(zip(ordered, vocabulary.merge(ordered))))
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document; with_ids adds ids and decoded."""
-    spark = docs.sparkSession
+@functools.cache
+def _folder() -> str:
+    """The driver's folder of files to hand out, removed when it ends; workers that come late still fetch from it."""
     folder = tempfile.mkdtemp(prefix="lexicon")
-    names = []
-    with open(tokenizer_path, "rb") as f:
-        contents = {"tokenizer": f.read(), "lexicon": build_lexicon(docs, Vocabulary(tokenizer_path))}
-    for kind, data in contents.items():
-        names.append(f"{kind}-{uuid.uuid4().hex}")
-        with open(os.path.join(folder, names[-1]), "wb") as f:
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def _kept(kind: str, data: bytes) -> str:
+    """The path of a file with these contents; equal contents are one file."""
+    path = os.path.join(_folder(), f"{kind}-{hashlib.sha256(data).hexdigest()[:32]}")
+    if not os.path.exists(path):
+        with open(path, "wb") as f:
             f.write(data)
-        spark.sparkContext.addFile(os.path.join(folder, names[-1]))
+    return path
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(*names)
+
+def _handed_out(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Names under which the workers find the files."""
+    context = spark.sparkContext
+    there = {os.path.basename(x) for x in context.listFiles}
+    for path in paths:
+        if os.path.basename(path) not in there:
+            context.addFile(path)
+    return [os.path.basename(p) for p in paths]
+
+
+def encoded(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document; with_ids adds ids and decoded."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        spec = json.load(f)
+    special = special_of(spec)
+    merges = _kept("merges", Vocabulary.compiled(spec))
+    lexicon = _kept("lexicon", build_lexicon(docs, Vocabulary(merges)))
+    names = _handed_out(docs.sparkSession, [merges, lexicon])
+
+    def rows(ids: pa.Array, texts: list[str], encoder: Encoder) -> pa.RecordBatch:
+        out = [(x, data.decode("utf-8", errors="replace")) for x, data in encoder.encode(texts)]
+        n = [x.count(",") + 1 if x else 0 for x, _ in out]
+        columns = [
+            ids,
+            pa.array(n, pa.int64()),
+            pa.array([hashlib.sha256(x.encode()).hexdigest() for x, _ in out], pa.string()),
+            pa.array([hashlib.sha256(t.encode()).hexdigest() for _, t in out], pa.string()),
+        ]
+        if with_ids:
+            values = np.fromstring(",".join([x for x, _ in out if x]), np.int32, sep=",")
+            ends = np.cumsum([0, *n]).astype(np.int32)
+            columns += [pa.ListArray.from_arrays(ends, values), pa.array([t for _, t in out], pa.string())]
+        return pa.record_batch(columns, schema.names)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(*names, special)
         for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            if with_ids:
-                out |= {"ids": [], "decoded": []}
-            for ids, n, data in encoder.encode(texts):
-                decoded = data.decode("utf-8", errors="replace")
-                out["n_tokens"].append(n)
-                out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-                if with_ids:
-                    out["ids"].append([int(i) for i in ids.split(",")] if ids else [])
-                    out["decoded"].append(decoded)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, **out})
+            begin, texts, size = 0, [], 0
+            for k, text in enumerate(batch.column(1)):
+                texts.append(text.as_py() or "")
+                size += len(texts[-1])
+                if len(texts) >= TEXTS or size >= CHARACTERS:
+                    yield rows(batch.column(0)[begin : k + 1], texts, encoder)
+                    begin, texts, size = k + 1, [], 0
+            if texts:
+                yield rows(batch.column(0)[begin:], texts, encoder)
 
     schema = T.StructType().add("doc_id", docs.schema["doc_id"].dataType).add("n_tokens", T.LongType())
     schema = schema.add("ids_sha256", T.StringType()).add("decoded_sha256", T.StringType())
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType())
-    return docs.select("doc_id", "text").mapInPandas(encode, schema)
+    return docs.select("doc_id", "text").mapInArrow(encode, schema)
