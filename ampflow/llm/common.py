@@ -6,7 +6,7 @@ import os
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the ASCII white space.
@@ -27,6 +27,11 @@ def whole(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a whole row; columns of maps, which Spark doesn't hash, are left out."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
+
+
 def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
@@ -46,11 +51,54 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sums_before(df: DataFrame, key: Column, values: dict[str, Column], last: Column | None = None) -> DataFrame:
+    """The rows and, by name, the sums of values over all rows that come before in the order of key.
+
+    Rows are dealt by ranges of key, each of which a window sums; the ranges' own totals, one row each, give the
+    rest. last: rows for which it holds come after all others.
+    """
+    own = [F.col(f"`{c}`") for c in df.columns]
+    order = ([] if last is None else [last]) + [key]
+    keyed = df.select(*own, F.struct(*order).alias("__order"), F.struct(*[v.alias(n) for n, v in values.items()]).alias("__v"))
+    ranged = durable(keyed.repartitionByRange("__order").select("*", F.spark_partition_id().alias("__range")))
+    sums = [F.sum(f"__v.{n}").alias(n) for n in values]
+    earlier = Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(F.col("__range").alias("__at")).agg(*sums)
+    begun = totals.select("__at", F.struct(*[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in values]).alias("__b"))
+    inside = Window.partitionBy("__range").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)
+    met = ranged.join(begun, F.col("__range") == F.col("__at"))
+    return met.select(*own, *[(F.coalesce(F.sum(f"__v.{n}").over(inside), F.lit(0)) + F.col(f"__b.{n}")).alias(n) for n in values])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), where the expression of value stands in the plan once."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column] = lambda a, x: a + x) -> Column:
+    """Of an array of ints, what combine makes of all items before each, beginning with 0.
+
+    An array that grows by an item is copied, so the items go in blocks of about the root of their number.
+    """
+    ints = F.array().cast("array<int>")
+
+    def within(items: Column, begin: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            return F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+        return F.aggregate(items, F.struct(begin.alias("at"), ints.alias("out")), step, lambda acc: acc["out"])
+
+    def by_blocks(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        places = F.sequence(F.lit(0), F.ceil(F.size(v) / size).cast("int") - 1)
+        blocks = F.transform(places, lambda b: F.slice(v, b * size + 1, size))
+        begun = lambda parts: within(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), combine)), F.lit(0))
+        done = let(blocks, lambda parts: F.flatten(F.zip_with(parts, begun(parts), within)))
+        return F.when(F.size(v) > 0, done).otherwise(ints)
+
+    return let(values, by_blocks)
+
+
 def spans_of(text: Column, pattern: str, keep=None) -> Column:
     """Matches of a pattern, leftmost and not overlapping, as array<struct<start,end,match>>.
 
@@ -58,25 +106,58 @@ def spans_of(text: Column, pattern: str, keep=None) -> Column:
     offsets, so no expression looks a match up again. ``keep`` maps a match to a condition.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kind = "array<struct<start:int,end:int,match:string>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        item = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"))
-        grown = F.concat(acc["spans"], F.array(item))
-        if keep is not None:
-            grown = F.when(keep(x["match"]), grown).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), grown.alias("spans"))
-
     pieces = F.filter(
-        F.zip_with(found, F.split(text, pattern, -1), lambda m, g: F.struct(m.alias("match"), g.alias("gap"))),
+        F.zip_with(found, F.split(text, pattern, -1), lambda m, g: F.struct(m.alias("match"), F.length(g).alias("gap"))),
         lambda p: p["match"].isNotNull(),  # the last gap has no match
     )
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
-    return F.when(
-        F.regexp_like(text, F.lit(pattern)), F.aggregate(pieces, first, step, lambda acc: acc["spans"])
-    ).otherwise(F.array().cast(kind))
+
+    def placed(p: Column) -> Column:
+        before = running(F.transform(p, lambda x: x["gap"] + F.length(x["match"])))
+        spans = F.zip_with(
+            p,
+            before,
+            lambda x, at: F.struct(
+                (at + x["gap"]).alias("start"), (at + x["gap"] + F.length(x["match"])).alias("end"), x["match"].alias("match")
+            ),
+        )
+        return spans if keep is None else F.filter(spans, lambda s: keep(s["match"]))
+
+    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    return F.when(F.regexp_like(text, F.lit(pattern)), let(pieces, placed)).otherwise(none)
+
+
+#: Characters of a chunk, in which a part of a long text is looked up.
+CHUNK = 4096
+
+
+def replaced(text: Column, spans: Column, fill: Callable[[Column], Column]) -> Column:
+    """The text with something else for its spans (array<struct<start,end,...>>, sorted by start).
+
+    Spans that overlap count as one. fill maps the length of what goes to what comes.
+    """
+    shaped = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    chunks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CHUNK), F.lit(0))
+
+    def part(c: Column, start: Column, length: Column) -> Column:
+        first = F.floor(start / CHUNK).cast("int")
+        n = F.floor((start + length) / CHUNK).cast("int") - first + 1
+        return F.substring(F.array_join(F.slice(c, first + 1, n), ""), start - first * CHUNK + 1, length)
+
+    def build(x: Column) -> Column:
+        """x: struct<spans,chunks>."""
+        before = running(F.transform(x["spans"], lambda s: s["end"]), lambda a, e: F.greatest(a, e))
+        placed = F.zip_with(x["spans"], before, lambda s, b: F.struct(b.alias("from"), s["start"].alias("to")))
+        kept = F.filter(placed, lambda k: k["to"] >= k["from"])
+        tail = F.struct(F.array_max(F.transform(x["spans"], lambda s: s["end"])).alias("from"), F.length(text).alias("to"))
+
+        def one(k: Column, i: Column, every: Column) -> Column:
+            come = F.when(i > 0, fill(k["from"] - F.get(every, i - 1)["to"])).otherwise("")
+            return F.concat(come, part(x["chunks"], k["from"], k["to"] - k["from"]))
+
+        return let(F.concat(kept, F.array(tail)), lambda every: F.array_join(F.transform(every, lambda k, i: one(k, i, every)), ""))
+
+    done = let(F.struct(shaped.alias("spans"), chunks.alias("chunks")), build)
+    return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
 def joined(spans: Column) -> Column:

@@ -10,20 +10,21 @@ The reduction tree has two kinds of steps. Inside a block (about ``BLOCK`` docum
 that neighbours weigh about the same) ten rounds of pairing run on arrays. A block leaves one
 fractional document at most; those residuals form blocks of the next level, and so on until a
 source has one residual left, which a final draw rounds. Blocks are numbered by a hash of the document,
-so a source of any share of the rows spreads over as many tasks as it has blocks.
+so a source of any share of the rows spreads over as many tasks as it has blocks. Equal rows are one unit
+with a number, which want so many times the copies; they meet before anything is dealt by that hash.
 All draws are hashes of the documents, so reruns agree.
 
 Defined results: a null text has size 0; a null source is a source of its own, last; documents
-of size 0 take 0 words; repeated rows are separate documents with separate draws as far as
-their place in a block differs; an empty table gives an empty result.
+of size 0 take 0 words; equal rows share their copies out, none gets two more than another;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampflow.llm.common import durable, let, n_words, whole
+from ampflow.llm.common import durable, let, n_words, row_hash, sums_before, whole
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -34,40 +35,39 @@ NEAR, TRIED = 0.002, 12
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h) of every document; h is a hash of the whole row's text and id."""
-    return docs.select(
-        "doc_id", "source", n_words(whole("text")).alias("size"), F.xxhash64("doc_id", "source", "text").alias("h")
-    )
+    """(doc_id, source, size, h, n): documents, n of them with this hash h of the whole row."""
+    rows = docs.select("doc_id", "source", n_words(whole("text")).alias("size"), row_hash(docs).alias("h"))
+    return rows.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("n"))
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(source, source_size, n_docs, target): one row for each source.
+def level_of(weighed: DataFrame, most: int) -> float:
+    """The level at which min(most * size, level * weight) sums to all words of (source_size, weight).
 
-    The targets are min(most * size, level * weight) for the one level at which they sum to all
-    words; sources are ordered by the level at which they reach their limit, and the level is
-    the largest of those that the sums before and after each source give.
+    From the level without limits it rises, as sources reach theirs; one row of sums a step comes back.
     """
-    one = Window.orderBy(F.col("source").asc_nulls_last())
-    stats = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    weighed = stats.select(
-        "*",
-        F.element_at(
-            F.array(*[F.lit(w) for w in weights]), F.pmod(F.row_number().over(one) - 1, F.lit(len(weights))) + 1
-        ).alias("weight"),
-    )
-    by_limit = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    before = F.coalesce(F.sum("source_size").over(by_limit.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    until = F.coalesce(F.sum("weight").over(by_limit.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    levels = weighed.select(
-        "*",
-        ((F.sum("source_size").over(every) - most * before) / (F.sum("weight").over(every) - until)).alias("level"),
-    )
-    return levels.select(
-        "source",
-        "source_size",
-        "n_docs",
-        F.least(most * F.col("source_size").cast("double"), F.max("level").over(every) * F.col("weight")).alias("target"),
+    level, limited = 0.0, -1
+    while True:
+        at = F.col("source_size") * most <= F.lit(level) * F.col("weight")
+        row = weighed.agg(
+            F.sum("source_size").alias("all"),
+            F.coalesce(F.sum(F.when(at, F.col("source_size"))), F.lit(0)).alias("held"),
+            F.coalesce(F.sum(F.when(~at, F.col("weight"))), F.lit(0)).alias("free"),
+            F.count_if(at).alias("limited"),
+        ).first()
+        if not row["free"] or row["limited"] == limited:
+            return level
+        level, limited = (row["all"] - most * row["held"]) / row["free"], row["limited"]
+
+
+def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """(source, source_size, n_units, target): one row for each source, numbered in their order by range."""
+    stats = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("n_units"))
+    placed = sums_before(stats, F.struct("source"), {"place": F.lit(1)}, last=F.col("source").isNull())
+    each = F.array(*[F.lit(w) for w in weights])
+    weighed = durable(placed.select("*", F.get(each, F.pmod("place", F.lit(len(weights))).cast("int")).alias("weight")))
+    limit = most * F.col("source_size").cast("double")
+    return weighed.select(
+        "source", "source_size", "n_units", F.least(limit, F.lit(level_of(weighed, most)) * F.col("weight")).alias("target")
     )
 
 
@@ -88,7 +88,7 @@ def _duel(a: Column, b: Column, turn: Column) -> Column:
 
     def unit(x: Column, p: Column) -> Column:
         bounded = F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
-        return F.struct(*[x[c].alias(c) for c in ("size", "h", "doc_id", "whole", "settles")], bounded.alias("p"))
+        return F.struct(*[x[c].alias(c) for c in ("size", "h", "doc_id", "n", "whole", "settles")], bounded.alias("p"))
 
     def out(left: Column, p: Column, done: Column, final: float) -> Column:
         return F.struct(unit(left, p).alias("left"), unit(done, F.lit(final)).alias("done"))
@@ -102,7 +102,7 @@ def _duel(a: Column, b: Column, turn: Column) -> Column:
     return F.when(b.isNull(), F.struct(a.alias("left"), F.lit(None).cast(_UNIT).alias("done"))).otherwise(met)
 
 
-_UNIT = "struct<size:bigint,h:bigint,doc_id:bigint,whole:double,settles:boolean,p:double>"
+_UNIT = "struct<size:bigint,h:bigint,doc_id:bigint,n:bigint,whole:double,settles:boolean,p:double>"
 
 
 def _level(units: DataFrame, level: int) -> DataFrame:
@@ -135,16 +135,16 @@ def _level(units: DataFrame, level: int) -> DataFrame:
 
 
 def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(doc_id, source, h, size, source_size, target, copies) of every document.
+    """(doc_id, source, h, size, n, source_size, target, copies): copies of n equal documents together.
 
     doc_id is taken as a bigint. The number of levels of the tree follows the largest source.
     """
     sizes = durable(sized(docs))
     plan = durable(targets(sizes, weights, most))
-    largest = plan.agg(F.max("n_docs")).first()[0] or 0
-    share = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
+    largest = plan.agg(F.max("n_units")).first()[0] or 0
+    share = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)) * F.col("n")
     joined = sizes.join(plan.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))
-    block = F.pmod(F.xxhash64("h", F.lit("block")), F.ceil(F.col("n_docs") / BLOCK))
+    block = F.pmod(F.xxhash64("h", F.lit("block")), F.ceil(F.col("n_units") / BLOCK))
     units = joined.select(
         "source",
         block.alias("block"),
@@ -152,6 +152,7 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
             "size",
             "h",
             F.col("doc_id").cast("bigint").alias("doc_id"),
+            "n",
             F.floor(share).cast("double").alias("whole"),
             (block == 0).alias("settles"),
             (share - F.floor(share)).alias("p"),
@@ -192,19 +193,20 @@ def _settled(units: DataFrame, most: int) -> DataFrame:
             "source",
             "h",
             "size",
+            "n",
             "source_size",
             "target",
             "settles",
-            (F.col("whole") + F.col("p")).cast("int").alias("copies"),
+            (F.col("whole") + F.col("p")).cast("long").alias("copies"),
         )
     )
-    fields = ["doc_id", "h", "size", "copies"]
+    fields = ["doc_id", "h", "size", "n", "copies"]
     off = rounded.groupBy("source").agg(
         (F.sum(F.col("size") * F.col("copies")) - F.first("target")).alias("off"),
         F.first("source_size").alias("source_size"),
         F.first("target").alias("target"),
         F.sort_array(
-            F.collect_list(F.when(F.col("settles"), F.struct("size", "h", "doc_id", "copies"))), asc=False
+            F.collect_list(F.when(F.col("settles"), F.struct("size", "h", "doc_id", "n", "copies"))), asc=False
         ).alias("block"),
     )
 
@@ -212,13 +214,13 @@ def _settled(units: DataFrame, most: int) -> DataFrame:
         """struct<miss,off,units>: variant 0 goes from the largest to the smallest; the others first change one of the largest by force."""
         nth, sign = F.floor((v - 1) / 2).cast("int"), F.when(v % 2 == 1, -1).otherwise(1)
         own = F.get("block", nth)
-        fits = F.coalesce((v > 0) & F.when(sign < 0, own["copies"] > 0).otherwise(own["copies"] < most), F.lit(False))
+        fits = F.coalesce((v > 0) & F.when(sign < 0, own["copies"] > 0).otherwise(own["copies"] < most * own["n"]), F.lit(False))
         forced = F.struct(nth.alias("nth"), F.when(fits, sign).otherwise(0).alias("by"), F.coalesce(own["size"], F.lit(0)).alias("size"))
 
         def run(force: Column) -> Column:
             def step(acc: Column, x: Column) -> Column:
                 less = (acc["off"] * 2 >= x["size"]) & (x["copies"] > 0) & (x["size"] > 0)
-                more = (-acc["off"] * 2 >= x["size"]) & (x["copies"] < most) & (x["size"] > 0)
+                more = (-acc["off"] * 2 >= x["size"]) & (x["copies"] < most * x["n"]) & (x["size"] > 0)
                 held = (force["by"] != 0) & (force["nth"] == F.size(acc["units"]))
                 free = F.when(held, 0).when(less, -1).when(more, 1).otherwise(0)
                 change = F.when(held, force["by"]).otherwise(free)
@@ -229,7 +231,7 @@ def _settled(units: DataFrame, most: int) -> DataFrame:
 
             zero = F.struct(
                 (F.col("off") + force["by"] * force["size"]).alias("off"),
-                F.array().cast("array<struct<doc_id:bigint,h:bigint,size:bigint,copies:int>>").alias("units"),
+                F.array().cast("array<struct<doc_id:bigint,h:bigint,size:bigint,n:bigint,copies:bigint>>").alias("units"),
             )
             return F.aggregate("block", zero, step)
 
@@ -242,33 +244,31 @@ def _settled(units: DataFrame, most: int) -> DataFrame:
     variants = F.transform(F.sequence(F.lit(0), F.lit(2 * TRIED)), settle)
     settled = off.select(
         "source", "source_size", "target", F.explode(F.array_min(variants)["units"]).alias("u")
-    ).select("u.doc_id", "source", "u.h", "u.size", "source_size", "target", "u.copies")
+    ).select("u.doc_id", "source", "u.h", "u.size", "u.n", "source_size", "target", "u.copies")
     return rounded.where(~F.col("settles")).drop("settles").select(*settled.columns).union(settled)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return copies(docs).select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * F.col("copies")).cast("long").alias("taken"),
-        "copies",
+    """Of n equal documents each gets an n-th of their copies, the first ones one more."""
+    found = copies(docs)
+    each = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("n") - 1),
+        lambda i: F.floor((F.col("copies") + F.col("n") - 1 - i) / F.col("n")).cast("int"),
+    )
+    return found.select("doc_id", "size", "source_size", "target", F.explode(each).alias("copies")).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies"
     )
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The documents themselves, each as many times as the mix takes it, with their own columns."""
-    wanted = (
-        copies(docs, weights, most)
-        .groupBy("doc_id", "h")
-        .agg(F.sum("copies").alias("__copies"))
-        .where("__copies > 0")
-        .select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "__copies")
-    )
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "source", "text"))
-    met = keyed.join(wanted, (F.col("__key") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    once = met.dropDuplicates(["__key", "__id"])
-    return once.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__nth")
-    ).drop("__nth")
+    """The documents themselves, each as many times as the mix takes it, with their own columns.
+
+    Documents are told apart by all their columns; equal rows are taken as often as their copies say together.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    wanted = copies(docs, weights, most).where("copies > 0")
+    picked = wanted.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("copies").alias("__copies"))
+    keyed = docs.select(*own, row_hash(docs).alias("__key"))
+    met = keyed.join(picked, (F.col("__key") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__nth")
+    return met.dropDuplicates(["__key", "__id"]).select(*own, times).drop("__nth")

@@ -25,11 +25,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ampflow.llm.common import durable
+from ampflow.llm.common import durable, row_hash
 from ampflow.llm.components import components
 
 SEED = 42
@@ -132,9 +132,9 @@ def _forests(start: pd.Series, fps: pd.Series) -> pd.Series:
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(a, b): edges that connect what fingerprints (column fp, distinct) at 3 bits connect."""
     keyed = distinct.select("fp", F.explode(_ring_keys(F.col("fp"))).alias("key"))
-    counted = keyed.select("*", F.count("*").over(Window.partitionBy("key")).alias("n")).where("n > 1")
-    few = counted.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    many = counted.where(F.col("n") > bucket).select("fp").distinct()
+    large = durable(keyed.groupBy("key").count().where(F.col("count") > bucket).select("key"))
+    few = keyed.join(large, "key", "left_anti").groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    many = keyed.join(large, "key", "left_semi").select("fp").distinct()
     wide = (
         many.select("fp", F.posexplode(F.array(*[F.lit(m) for m in _nibble_masks()])).alias("table", "mask"))
         .select("fp", "table", F.col("fp").bitwiseAND(F.col("mask")).alias("part"))
@@ -147,16 +147,19 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return sets.select(F.explode(_forests("start", "fps")).alias("e")).select("e.a", "e.b")
 
 
+def rooted(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(fp, root): the class of every fingerprint of the column fp, which is distinct."""
+    found = components(links(distinct.select("fp"), bucket))
+    return distinct.join(found, distinct.fp == found.node, "left").select(distinct.fp, F.coalesce("root", "fp").alias("root"))
+
+
 def classes(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id) of every document."""
     prints = durable(docs.select("doc_id", _fingerprints("text").alias("fp")))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(links(distinct.select("fp"), bucket))
-    rooted = distinct.join(found, distinct.fp == found.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
+    roots = distinct.join(rooted(distinct.select("fp"), bucket), "fp")
+    smallest = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = roots.join(smallest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -166,26 +169,17 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each class, with its own columns: that of the smallest doc_id.
+def one_of_each(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """One document of each class, with its own columns: that of the smallest doc_id, null last.
 
-    Rows that share this id stay once. Of a class without ids one row stays.
+    Among documents of one doc_id in a class, the one whose row has the smallest hash stays; unlike documents
+    that share a doc_id are of different classes, and one of each stays. Of equal rows one stays.
     """
-    found = classes(docs)
-    chosen = found.groupBy(F.coalesce("component_id", "fp").alias("c"), F.col("component_id").isNull().alias("none")).agg(
-        F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("fp"))).alias("fp"),
-        F.first("component_id").alias("id"),
-    )
-    picked = chosen.select(F.col("id").alias("__id"), F.col("fp").alias("__fp"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    with_id = docs.where("doc_id is not null").join(
-        picked.where("__id is not null").select("__id"), F.col("doc_id") == F.col("__id"), "left_semi"
-    )
-    once = with_id.dropDuplicates(["doc_id"])
-    without = (
-        docs.where("doc_id is null")
-        .withColumn("__fp0", _fingerprints("text"))
-        .join(picked.where("__id is null"), F.col("__fp0") == F.col("__fp"), "left_semi")
-        .dropDuplicates(["__fp0"])
-    )
-    return once.select(*columns).union(without.select(*columns))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(*own, row_hash(docs).alias("__h"))
+    prints = durable(keyed.select("doc_id", "__h", _fingerprints("text").alias("fp")))
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__h")).alias("first"))
+    chosen = first.join(rooted(first.select("fp"), bucket), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    picked = chosen.select(F.col("first.doc_id").alias("__id"), F.col("first.__h").alias("__of"))
+    met = keyed.join(picked, (F.col("__h") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return met.dropDuplicates(["__h", "doc_id"]).select(*own)
