@@ -1,22 +1,24 @@
 """Secret scans: fixed patterns, and a battery of randomness tests (built-in expressions only).
 
-Patterns give the base spans (assign, access, hex). Beside them, every run of 20 or more
+Patterns give the base spans (assign, access, hex). Outside them, every run of 20 or more
 encoding characters that holds a digit and a letter is a candidate. Its encoding is inferred
 from its characters (hex, base32, base36, base64), and three tests ask whether it looks
 like independent uniform draws from that alphabet:
 
 * chi-squared uniformity of the symbol counts, standardised by its exact mean and variance, so
   that it holds where a token has fewer characters than its alphabet has symbols;
-* the runs test on the two halves of the alphabet;
+* the runs test on two classes of characters: digits and letters or, in base64, small letters and the rest;
 * the serial correlation of neighbouring symbols.
 
 The Cauchy combination makes one p-value of the three. A random token has a uniform p-value, an
 ordinary one a small one. False discoveries are ordinary tokens called random, and shorter tokens
-are harder to tell apart; so within each stratum (encoding and octave of length) the number of random
-tokens is estimated from the upper half of the p-values, and the threshold is the lowest
-at which the expected share of ordinary tokens among the called stays within ``rate``. A
-stratum that never gets there calls nothing. The histogram of p-values has 4 x 16 x 50
-cells at most, whatever the input, and enters the second pass as a scalar subquery.
+are harder to tell apart. So each stratum (encoding and quarter octave of length) has a null of its own: ``DECOYS``
+tokens of its shortest length that are made of words and a number, with letters as frequent as in European text,
+go through the same tests. With all candidates of the stratum taken for ordinary, the null says how many of them
+would pass a p-value; the threshold is the lowest at which these are at most ``rate`` of those that do. A
+stratum that never gets there calls nothing. Candidates and decoys are counted by stratum and
+one of 50 cells of the p-value, 4 x 24 x 50 rows at most, whatever the input; the thresholds enter the second pass as a
+scalar subquery. What is neither random nor like words and numbers is not controlled.
 
 Defined results: a null text counts as empty; null doc_ids and repeated rows are
 ordinary rows; an empty table gives an empty result; offsets are code points, the end exclusive.
@@ -24,12 +26,13 @@ ordinary rows; an empty table gives an empty result; offsets are code points, th
 
 from __future__ import annotations
 
+import random
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampflow.llm.common import joined, let, spans_of, whole
+from ampflow.llm.common import durable, joined, let, replaced, spans_of, whole
 
 # The base patterns.
 ASSIGN = (
@@ -49,7 +52,14 @@ ALPHABETS = {
     "base36": string.digits + string.ascii_lowercase,
     "base64": string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/",
 }
+#: Places (after, up to) in its alphabet of the class that the runs test looks at.
+CLASSES = {"hex": (0, 10), "base32": (26, 32), "base36": (0, 10), "base64": (26, 52)}
 CELLS = 50
+#: Ordinary tokens that are made for the null of a stratum, and the longest strata, in quarter octaves.
+DECOYS = 4000
+LONGEST = 32
+# Letters of European text, in percent.
+FREQUENT = "e" * 13 + "n" * 8 + "i" * 8 + "a" * 8 + "t" * 7 + "s" * 7 + "r" * 7 + "o" * 6 + "l" * 4 + "d" * 5 + "u" * 4 + "h" * 4 + "c" * 4 + "m" * 3 + "p" * 2 + "g" * 2 + "f" * 2 + "w" + "b" + "y" + "v" + "k" + "z"
 
 
 def _base(text: Column) -> Column:
@@ -103,11 +113,13 @@ def p_random(token: Column, encoding: Column) -> Column:
     for name in names[1:]:
         alphabet = alphabet.when(encoding == name, ALPHABETS[name])
     plain = F.when(encoding == "hex", F.lower(token)).otherwise(F.translate(token, "-_=", "+/"))
-    return let(F.struct(plain.alias("token"), alphabet.alias("alphabet")), _battery)
+    bound = lambda k: F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, float(CLASSES[n][k]))]), encoding)
+    parts = F.struct(plain.alias("token"), alphabet.alias("alphabet"), bound(0).alias("low"), bound(1).alias("high"))
+    return let(parts, _battery)
 
 
 def _battery(c: Column) -> Column:
-    """c: struct<token,alphabet>."""
+    """c: struct<token,alphabet,low,high>."""
     token = c["token"]
     k, n = F.length(c["alphabet"]).cast("double"), F.length(token).cast("double")
     codes = F.transform(F.split(token, ""), lambda x: F.instr(c["alphabet"], x).cast("double"))
@@ -118,8 +130,10 @@ def _battery(c: Column) -> Column:
     )
     chi = (squares * k / n - n - (k - 1)) / F.sqrt(2.0 * (k - 1) * (1 - 1 / n))
 
+    inside = lambda x: (x > c["low"]) & (x <= c["high"])
+
     def step(acc: Column, x: Column) -> Column:
-        high = F.when(x > k / 2, 1.0).otherwise(0.0)
+        high = F.when(inside(x), 1.0).otherwise(0.0)
         return F.struct(
             x.alias("last"),
             (acc["s1"] + x).alias("s1"),
@@ -128,7 +142,7 @@ def _battery(c: Column) -> Column:
             (acc["high"] + high).alias("high"),
             (
                 acc["runs"]
-                + F.when((acc["last"] < 0) | ((acc["last"] > k / 2) != (x > k / 2)), 1.0).otherwise(0.0)
+                + F.when((acc["last"] < 0) | (inside(acc["last"]) != inside(x)), 1.0).otherwise(0.0)
             ).alias("runs"),
             F.when(acc["last"] < 0, x).otherwise(acc["first"]).alias("first"),
         )
@@ -157,23 +171,24 @@ def _battery(c: Column) -> Column:
     return 0.5 - F.atan(cauchy / 3) / 3.141592653589793
 
 
-def _candidates(text: Column, base: Column) -> Column:
-    """array<struct<start,end,stratum,p>> of tokens outside the base spans."""
-    tokens = spans_of(text, TOKEN, lambda m: _encoding(m).isNotNull())
-    free = F.filter(
-        tokens, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    )
-    octave = lambda m: F.least(F.floor(F.log2(F.length(m))), F.lit(19)).cast("string")
-    cell = lambda m, e: F.least(F.floor(p_random(m, e) * CELLS), F.lit(CELLS - 1)).cast("int")
+def _cell(token: Column, encoding: Column) -> Column:
+    return F.least(F.floor(p_random(token, encoding) * CELLS), F.lit(CELLS - 1)).cast("int")
+
+
+def _candidates(outside: Column) -> Column:
+    """array<struct<start,end,encoding,quarter,cell>> of the tokens of a text."""
+    tokens = spans_of(outside, TOKEN, lambda m: _encoding(m).isNotNull())
+    quarter = lambda m: F.least(F.floor(4 * F.log2(F.length(m))), F.lit(LONGEST)).cast("int")
     return F.transform(
-        free,
+        tokens,
         lambda t: let(
             _encoding(t["match"]),
             lambda e: F.struct(
                 t["start"].alias("start"),
                 t["end"].alias("end"),
-                F.concat_ws("/", e, octave(t["match"])).alias("stratum"),
-                cell(t["match"], e).alias("cell"),
+                e.alias("encoding"),
+                quarter(t["match"]).alias("quarter"),
+                _cell(t["match"], e).alias("cell"),
             ),
         ),
     )
@@ -182,47 +197,84 @@ def _candidates(text: Column, base: Column) -> Column:
 def _scanned(docs: DataFrame, text: Column) -> DataFrame:
     """The documents with __s_text, __s_base and __s_candidates."""
     first = docs.select("*", text.alias("__s_text"))
-    with_base = first.select("*", _base(F.col("__s_text")).alias("__s_base"))
-    return with_base.select("*", _candidates(F.col("__s_text"), F.col("__s_base")).alias("__s_candidates"))
-
-
-def thresholds(docs: DataFrame, rate: float = 0.05) -> DataFrame:
-    """(stratum, least_cell): the p-value cell from which tokens of a stratum are called random."""
-    cells = (
+    with_base = first.select("*", F.sort_array(_base(F.col("__s_text"))).alias("__s_base"))
+    blank = replaced(F.col("__s_text"), F.col("__s_base"), lambda n: F.repeat(F.lit(" "), n))
+    return with_base.select("*", blank.alias("__s_outside")).select("*", _candidates(F.col("__s_outside")).alias("__s_candidates"))
+
+
+def _words(letters: str, n: int = 256) -> list[str]:
+    """Words of 3 to 9 letters, drawn from the given ones."""
+    rng = random.Random(letters)
+    return ["".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(n)]
+
+
+def decoy(encoding: Column, length: Column, seed: Column) -> Column:
+    """An ordinary token: words and, behind them, a number of 1 to 6 digits; in base64 with marks or capitals between the words."""
+    draw = lambda most, *keys: F.pmod(F.xxhash64(seed, *keys), F.lit(most)).cast("int")
+    one_of = lambda items, *keys: F.get(F.array(*[F.lit(x) for x in items]), draw(len(items), *keys))
+    hexed = [c for c in FREQUENT if c in ALPHABETS["hex"]]
+
+    def word(k: Column) -> Column:
+        return F.when(encoding == "hex", one_of(_words("".join(hexed)), k)).otherwise(one_of(_words(FREQUENT), k))
+
+    places = F.sequence(F.lit(1), F.ceil(length / 3).cast("int"))
+    joined_up = F.array_join(F.transform(places, word), " ")
+    capitals = F.when(draw(2, F.lit("capitals")) == 0, F.initcap(joined_up)).otherwise(joined_up)
+    marked = F.replace(capitals, F.lit(" "), one_of(("-", "_", "/", ""), F.lit("mark")))
+    words = F.when(encoding == "base64", marked).otherwise(F.replace(joined_up, F.lit(" "), F.lit("")))
+    n = 1 + draw(6, F.lit("digits"))
+    digits = F.substring(F.xxhash64(seed, F.lit("number")).cast("string"), F.lit(4), n)
+    plain = F.concat(F.substring(words, F.lit(1), length - n), digits)
+    return F.when(encoding == "base32", F.translate(F.upper(plain), "0189", "2345")).otherwise(plain)
+
+
+def null_cells(strata: DataFrame, decoys: int = DECOYS) -> DataFrame:
+    """(encoding, quarter, cell, decoys): how the ordinary tokens of the given strata (encoding, quarter) fall."""
+    listed = strata.agg(F.collect_list(F.struct("encoding", "quarter")).alias("strata")).scalar()
+    seeds = strata.sparkSession.range(decoys).select(F.col("id").alias("seed"), F.explode(listed).alias("s"))
+    shortest = F.greatest(F.ceil(F.pow(F.lit(2.0), F.col("s.quarter") / 4)).cast("int"), F.lit(20))
+    tokens = seeds.select("s.*", decoy(F.col("s.encoding"), shortest, F.col("seed")).alias("token"))
+    cells = tokens.select("encoding", "quarter", _cell(F.col("token"), F.col("encoding")).alias("cell"))
+    return cells.groupBy("encoding", "quarter", "cell").agg(F.count("*").alias("decoys"))
+
+
+def thresholds(docs: DataFrame, rate: float = 0.05, decoys: int = DECOYS) -> DataFrame:
+    """(encoding, quarter, least_cell): the p-value cell from which tokens of a stratum are called random."""
+    cells = durable(
         _scanned(docs.select("text"), whole("text"))
         .select(F.explode("__s_candidates").alias("c"))
-        .groupBy("c.stratum", "c.cell")
+        .groupBy("c.encoding", "c.quarter", "c.cell")
         .agg(F.count("*").alias("n"))
     )
-    counts = cells.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("n"))
-    half = CELLS // 2
-    from_cell = lambda t: F.aggregate(
-        F.sequence(t, F.lit(CELLS - 1)), F.lit(0).cast("long"), lambda a, c: a + F.coalesce(F.try_element_at("n", c), F.lit(0))
+    null = null_cells(cells.select("encoding", "quarter").distinct(), decoys)
+    both = cells.withColumn("decoys", F.lit(0).cast("long")).unionByName(null.withColumn("n", F.lit(0).cast("long")))
+    by_cell = both.groupBy("encoding", "quarter", "cell").agg(F.sum("n").alias("n"), F.sum("decoys").alias("decoys"))
+    stratum = Window.partitionBy("encoding", "quarter")
+    from_here = stratum.orderBy(F.desc("cell"))
+    tails = by_cell.select(
+        "encoding",
+        "quarter",
+        "cell",
+        F.sum("n").over(stratum).alias("tokens"),
+        F.sum("n").over(from_here).alias("called"),
+        ((F.sum("decoys").over(from_here) + 1) / (decoys + 1)).alias("ordinary"),
     )
-    random = from_cell(F.lit(half)) * CELLS / (CELLS - half)
-    called = F.transform(F.sequence(F.lit(0), F.lit(half)), lambda t: from_cell(t))
-    good = F.filter(
-        F.transform(
-            called,
-            lambda c, t: F.when((c > 0) & (c - random * (CELLS - t) / CELLS <= rate * c), t),
-        ),
-        lambda t: t.isNotNull(),
-    )
-    return counts.select("stratum", F.array_min(good).alias("least_cell")).where("least_cell is not null")
+    good = tails.where((F.col("called") > 0) & (F.col("tokens") * F.col("ordinary") <= rate * F.col("called")))
+    return good.groupBy("encoding", "quarter").agg(F.min("cell").alias("least_cell"))
 
 
 def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     """The documents and __s_base, __s_spans: arrays of struct<start,rank,end,kind>."""
-    limits = thresholds(docs, rate).agg(
-        F.map_from_entries(F.collect_list(F.struct("stratum", "least_cell"))).alias("limits")
-    )
+    stratum = lambda c: F.concat_ws("/", c["encoding"], c["quarter"].cast("string"))
+    found = thresholds(docs, rate).select(F.struct("encoding", "quarter").alias("s"), "least_cell")
+    limits = found.agg(F.map_from_entries(F.collect_list(F.struct(stratum(F.col("s")), "least_cell"))).alias("limits"))
     called = F.filter(
-        "__s_candidates", lambda c: c["cell"] >= F.coalesce(F.try_element_at("__s_limits", c["stratum"]), F.lit(CELLS))
+        "__s_candidates", lambda c: c["cell"] >= F.coalesce(F.try_element_at("__s_limits", stratum(c)), F.lit(CELLS))
     )
     scanned = _scanned(docs, whole("text")).select("*", limits.scalar().alias("__s_limits"))
     return scanned.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        F.sort_array("__s_base").alias("__s_base"),
+        "__s_base",
         F.sort_array(F.concat("__s_base", _named(called, 3))).alias("__s_spans"),
     )
 
@@ -240,28 +292,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span replaced by a mark; n_chars, if there, follows the text."""
-    text = whole("text")
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return (
-            F.when(
-                s["start"] >= acc["at"],
-                F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out")),
-            )
-            .otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-        )
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.when(
-        F.size("__s_spans") > 0,
-        F.aggregate(
-            "__s_spans",
-            zero,
-            step,
-            lambda a: F.array_join(F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, F.length(text)))), mark),
-        ),
-    ).otherwise(F.col("text"))
+    clean = F.when(F.size("__s_spans") > 0, replaced(whole("text"), F.col("__s_spans"), lambda n: F.lit(mark))).otherwise(F.col("text"))
     out = scan(docs)
     changed = out.select(*[clean.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
     if "n_chars" in docs.columns:
