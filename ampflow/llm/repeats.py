@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampflow.llm.common import WHITE, WORD, durable, whole
+from ampflow.llm.common import WHITE, WORD, durable, let, replaced, running, whole
 
 LEAST_WORDS = 8
 SPANS = "array<struct<start:int,end:int>>"
@@ -28,17 +28,15 @@ SPANS = "array<struct<start:int,end:int>>"
 
 def _pieces(text: Column) -> Column:
     """array<struct<start,end,piece>> of the pieces between line ends."""
-    kind = "array<struct<start:int,end:int,piece:string>>"
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        item = F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("piece"))
-        long = F.regexp_count(piece, F.lit(WORD)) >= LEAST_WORDS
-        grown = F.when(long, F.concat(acc["out"], F.array(item))).otherwise(acc["out"])
-        return F.struct((end + 1).alias("at"), grown.alias("out"))
+    def placed(pieces: Column) -> Column:
+        starts = running(F.transform(pieces, lambda p: F.length(p) + 1))
+        every = F.zip_with(
+            pieces, starts, lambda p, at: F.struct(at.alias("start"), (at + F.length(p)).alias("end"), p.alias("piece"))
+        )
+        return F.filter(every, lambda u: F.regexp_count(u["piece"], F.lit(WORD)) >= LEAST_WORDS)
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    return F.aggregate(F.split(text, "\n"), zero, step, lambda a: a["out"])
+    return let(F.split(text, "\n"), placed)
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -49,9 +47,8 @@ def units(docs: DataFrame) -> DataFrame:
     cut = F.transform(
         both, lambda u: F.struct(digest(u["piece"]).alias("digest"), u["start"].alias("start"), u["end"].alias("end"))
     )
-    return texts.select(
-        "doc_id", F.xxhash64("text").alias("h"), F.sort_array(F.array_distinct(cut)).alias("units")
-    )
+    once = lambda units: F.filter(units, lambda u, i: (i == 0) | (u != F.get(units, i - 1)))  # noqa: E731  array_distinct compares all structs with all
+    return texts.select("doc_id", F.xxhash64("text").alias("h"), let(F.sort_array(cut), once).alias("units"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -87,21 +84,19 @@ def removals(docs: DataFrame) -> DataFrame:
         .select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h"), "found")
     )
 
-    def step(acc: Column, s: Column) -> Column:
+    def apart(found: Column) -> Column:
         """Sentences inside a line that goes are part of it."""
-        item = F.struct(s["start"].alias("start"), (-s["back"]).alias("end"))
-        return F.when(
-            s["start"] >= acc["at"],
-            F.struct((-s["back"]).alias("at"), F.concat(acc["out"], F.array(item)).alias("out")),
-        ).otherwise(acc)
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-    apart = F.when(F.col("found").isNull(), F.array().cast(SPANS)).otherwise(
-        F.aggregate("found", zero, step, lambda a: a["out"])
-    )
+        ends = running(F.transform(found, lambda s: -s["back"]), lambda a, e: F.greatest(a, e))
+        every = F.zip_with(
+            found, ends, lambda s, at: F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), at.alias("at"))
+        )
+        free = F.filter(every, lambda s: s["start"] >= s["at"])
+        return F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+    spans = F.when(F.col("found").isNull(), F.array().cast(SPANS)).otherwise(let(F.col("found"), apart))
     return cut.select("doc_id", "h", F.size("units").cast("long").alias("n_units")).join(
         gone, (F.col("h") == F.col("g_h")) & F.col("doc_id").eqNullSafe(F.col("g_id")), "left"
-    ).select("doc_id", "h", "n_units", apart.alias("spans"))
+    ).select("doc_id", "h", "n_units", spans.alias("spans"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -121,18 +116,7 @@ def remove(docs: DataFrame) -> DataFrame:
     """The documents without their repeated passages, and removed: the spans in the original text."""
     found = removals(docs).select(F.col("doc_id").alias("r_id"), F.col("h").alias("r_h"), "spans").dropDuplicates(["r_h", "r_id"])
     text = whole("text")
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = F.aggregate(
-        "spans",
-        zero,
-        step,
-        lambda a: F.array_join(F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, F.length(text)))), ""),
-    )
+    rest = replaced(text, F.col("spans"), lambda n: F.lit(""))
     keyed = docs.withColumn("__h", F.xxhash64(text))
     met = keyed.join(found, (F.col("__h") == F.col("r_h")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
     own = [
