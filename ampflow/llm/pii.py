@@ -31,13 +31,13 @@ KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "name")
 # The base patterns. The local part of an email is found backwards from its sign.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")  # a match can begin nowhere else, and a long number is read once
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: The wider net.
+#: The wider net. That of emails begins behind the local part.
 NET = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+(?:(?: ?\(dot\) ?| ?\[dot\] ?| dot |\.)[A-Za-z]{2,})+"),
+    "email": re.compile(r"(?: ?(?:\(at\)|\[at\]) ?| at )[A-Za-z0-9-]++(?:(?: ?\(dot\) ?| ?\[dot\] ?| dot |\.)[A-Za-z]{2,})+"),
     "ip": re.compile(r"[0-9]{1,4}(?:\.[0-9]{1,4}){3}"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])|(?<![0-9])3[0-9]{3}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])"),
     "phone": re.compile(r"(?:\+?[0-9]{1,3}[ .-])?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"),
@@ -94,6 +94,20 @@ def emails(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def spelled_emails(text: str) -> list[tuple[int, int]]:
+    """Emails with their sign spelled out: from the start of the run of local characters before it."""
+    found, done = [], 0
+    if " at " in text or "(at)" in text or "[at]" in text:
+        for m in NET["email"].finditer(text):
+            start = m.start()
+            while start > done and text[start - 1] in LOCAL:
+                start -= 1
+            if start < m.start():
+                found.append((start, m.end()))
+            done = m.end()
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, rank of the kind, end), by start and then rank."""
     found = [(s, 0, e) for s, e in emails(text)] if "@" in text else []
@@ -125,8 +139,7 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
                 if m[0] + m[1] in GIVEN or TITLES.search(text, max(0, m.start() - 12), m.start())
             }
         elif kind == "email":
-            if " at " in text or "(at)" in text or "[at]" in text:
-                found |= {(m.start(), rank, m.end()) for m in NET[kind].finditer(text)}
+            found |= {(start, rank, end) for start, end in spelled_emails(text)}
         elif digits:
             found |= {(m.start(), rank, m.end()) for m in NET[kind].finditer(text)}
     return sorted(found)
@@ -282,15 +295,25 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 def find(text: str, weights: np.ndarray, memo: dict) -> tuple[list, list]:
     """Base spans and all spans of one text."""
     base = base_spans(text)
+    taken: list[list[int]] = []  # stretches that base spans cover, apart and in order
+    for start, _, end in base:
+        if taken and start < taken[-1][1]:
+            taken[-1][1] = max(end, taken[-1][1])
+        else:
+            taken.append([start, end])
     added: list[tuple[int, int, int]] = []
+    at, free_from = 0, 0
     for start, rank, end in candidates(text):
-        if (start, rank, end) in base or any(s < end and start < e for s, _, e in [*base, *added]):
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        if start < free_from or at < len(taken) and taken[at][0] < end:
             continue
         key = (rank, describe(KINDS[rank], *around(text, start, end)))
         if key not in memo:
             memo[key] = float(design(*key) @ weights) > 0
         if memo[key]:
             added.append((start, rank, end))
+            free_from = end
     return base, sorted(base + added)
 
 
