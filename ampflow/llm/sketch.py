@@ -9,6 +9,10 @@ union (``merged``). A text of one to four words is one shingle.
 A text without a hash below the threshold (a short one, as a rule) keeps all of its hashes instead. They are
 compared with all shingles of the other text and not with its sketch (``share_in``), so this share is exact.
 
+``report`` moves each text once. The ids alone give the buckets: ranges of (doc_id, hash), ``FINER`` times as many as there
+are shuffle partitions. A text goes to its bucket; the last of a bucket goes to the next bucket too,
+where it only serves the first there. A window over each bucket then has every text beside the next one.
+
 Defined results: a null text counts as empty; a text without words has an empty sketch, like (1.0)
 only to another empty one; documents stand in descending order of doc_id, null last, then of a hash of
 the text; repeated rows (one id, one text) are one place in that order and give repeated
@@ -26,6 +30,8 @@ SHINGLE = 5
 SCALE = 8
 #: Hashes are signed 64-bit numbers; those below this one are the lowest 1 / SCALE.
 BELOW = -(1 << 63) + (1 << 64) // SCALE
+#: Buckets for each shuffle partition.
+FINER = 8
 
 
 def _hashes(text: Column) -> Column:
@@ -81,67 +87,77 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def next_of_each(keys: DataFrame) -> DataFrame:
-    """(doc_id, h, n_chars, few, next_id, next_h) of distinct (doc_id, h): the next in descending order, the first after the last.
+def bounds(keys: DataFrame) -> DataFrame:
+    """One row: ``starts``, the ascending first keys of the buckets, and ``ends``, the last key of each; none for no keys.
 
-    The ids are dealt by range; a window finds the next inside a range, and one row a range links
-    it to the next range. Only ids and the sketches of ``few`` move, no texts.
+    keys: a column ``key``, distinct. Only keys move; their ranges are Spark's, each cut into ``FINER`` buckets.
     """
-    order = [F.col("doc_id").desc_nulls_last(), F.col("h").desc()]
-    ranged = durable(
-        keys.groupBy("doc_id", "h").agg(F.first("n_chars").alias("n_chars"), F.first("few").alias("few"))
-        .repartitionByRange(*order)
-        .withColumn("range", F.spark_partition_id())
-    )
-    inside = Window.partitionBy("range").orderBy(*order)
-    pair = F.struct(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"))
-    linked = ranged.select("*", F.lead(pair).over(inside).alias("next"), F.row_number().over(inside).alias("nth"))
-    by_range = Window.orderBy("range")
-    every = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = linked.where("nth = 1").select(
-        F.col("range").alias("__range"),
-        F.coalesce(F.lead(pair).over(by_range), F.first(pair).over(every)).alias("first"),
+    ranged = keys.repartitionByRange("key").select("key", F.spark_partition_id().alias("range"))
+    inside = Window.partitionBy("range")
+    place = F.row_number().over(inside.orderBy("key")) - 1
+    size = F.ceil(F.count("*").over(inside) / FINER)
+    firsts = ranged.select("key", "range", F.floor(place / size).alias("part")).groupBy("range", "part").agg(
+        F.min("key").alias("start"), F.max("key").alias("end")
     )
-    ends = linked.where("next is null").join(firsts, F.col("range") == F.col("__range"))
-    columns = ["doc_id", "h", "n_chars", "few"]
-    return linked.where("next is not null").select(*columns, "next.*").union(ends.select(*columns, "first.*"))
+    return firsts.agg(F.sort_array(F.collect_list("start")).alias("starts"), F.sort_array(F.collect_list("end")).alias("ends"))
 
 
-def report(docs: DataFrame) -> DataFrame:
-    texts = with_sketch(
-        docs.select("doc_id", whole("text").alias("text")).withColumn("h", F.xxhash64("text")), "text", "sketch"
-    )
-    # A whole sketch goes to the next text's row, where it is compared; that of any other text is read from its own row.
-    light = texts.select(
-        "doc_id", "h", F.length("text").alias("n_chars"), F.when(is_whole(F.col("sketch")), F.col("sketch")).alias("few")
-    )
-    following = durable(next_of_each(light))
-    other = texts.select(
-        F.col("doc_id").alias("o_id"), F.col("h").alias("o_h"), F.col("text").alias("o_text"), F.col("sketch").alias("o_sketch")
-    )
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    heads = (
-        following.join(other, (F.col("next_h") == F.col("o_h")) & F.col("next_id").eqNullSafe(F.col("o_id")))
-        .select(
-            F.col("doc_id").alias("f_id"),
-            F.col("h").alias("f_h"),
-            F.substring("o_text", F.lit(1), half).alias("head"),
-            F.col("o_sketch").alias("next_sketch"),
-            F.when(F.col("few").isNotNull(), share_in(F.col("few"), F.col("o_sketch"), F.col("o_text"))).alias("few_in_next"),
+def _bucket(key: Column, starts: Column) -> Column:
+    """The place of the last start that is not above the key, by halving."""
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        right = F.get(starts, middle) <= key
+        return F.struct(
+            F.when(right, middle).otherwise(acc["low"]).alias("low"), F.when(right, acc["high"]).otherwise(middle).alias("high")
         )
-        .dropDuplicates(["f_h", "f_id"])
+
+    whole_range = F.struct(F.lit(0).alias("low"), F.size(starts).alias("high"))
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(starts) + F.lit(1))).cast("int"))
+    return F.aggregate(steps, whole_range, halve, lambda acc: acc["low"])
+
+
+def beside_next(texts: DataFrame) -> DataFrame:
+    """The rows and next: struct<text,sketch> of the next in descending order of key, the first after the last.
+
+    texts: key, text, sketch and others; key is distinct, and the columns of report.
+    """
+    found = durable(bounds(texts.select("key")))
+    held = texts.select("*", found.select(F.struct("starts", "ends")).scalar().alias("bounds"))
+    placed = held.select("*", _bucket(F.col("key"), F.col("bounds.starts")).alias("bucket"))
+    last = F.get(F.col("bounds.ends"), F.col("bucket")) == F.col("key")
+    after = F.pmod(F.col("bucket") + 1, F.size("bounds.starts"))
+    copies = F.when(last, F.array(F.struct("bucket", F.lit(False).alias("serves")), F.struct(after.alias("bucket"), F.lit(True).alias("serves"))))
+    spread = placed.select(
+        *texts.columns, F.explode(F.coalesce(copies, F.array(F.struct("bucket", F.lit(False).alias("serves"))))).alias("at")
     )
-    met = texts.join(heads, (F.col("h") == F.col("f_h")) & F.col("doc_id").eqNullSafe(F.col("f_id")))
+    order = Window.partitionBy("at.bucket").orderBy(F.desc("at.serves"), "key")
+    met = spread.select("*", F.lag(F.struct("text", "sketch")).over(order).alias("next"))
+    return met.where(~F.col("at.serves")).drop("at")
+
+
+def report(docs: DataFrame) -> DataFrame:
+    plain = docs.select("doc_id", whole("text").alias("text")).withColumn("h", F.xxhash64("text"))
+    key = F.struct("doc_id", "h").alias("key")
+    most = plain.groupBy("doc_id", "h").count().agg(F.max("count").alias("n")).first()["n"]
+    if (most or 1) > 1:  # repeated rows meet before the texts move, so that a very frequent one is few rows
+        counted = plain.groupBy("doc_id", "h", "text").agg(F.count("*").alias("n"))
+        texts = counted.select(key, "text", "n")
+    else:
+        texts = plain.select(key, "text", F.lit(1).cast("long").alias("n"))
+    met = beside_next(with_sketch(texts, "text", "sketch"))
     n = F.length("text")
+    half = F.floor(n / 2).cast("int")
     edited = met.select(
-        "doc_id",
+        F.col("key.doc_id").alias("doc_id"),
         n.cast("long").alias("n_chars"),
         "sketch",
-        "next_sketch",
-        F.coalesce("few_in_next", containment(F.col("sketch"), F.col("next_sketch"))).alias("near_next"),
-        share_in(F.col("next_sketch"), F.col("sketch"), F.col("text")).alias("next_in_own"),
+        "next",
         "text",
-        F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 2)).cast("int")), "head").alias("edited"),
+        "n",
+        F.concat(
+            F.substring("text", F.lit(1), (n - F.floor(n / 2)).cast("int")), F.substring("next.text", F.lit(1), half)
+        ).alias("edited"),
     )
     both = with_sketch(edited, "edited", "edited_sketch")
     return both.select(
@@ -151,7 +167,8 @@ def report(docs: DataFrame) -> DataFrame:
         as_text(F.col("sketch")).alias("fingerprint"),
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         share_in(F.col("sketch"), F.col("edited_sketch"), F.col("edited")).alias("near_edited"),
-        "near_next",
+        share_in(F.col("sketch"), F.col("next.sketch"), F.col("next.text")).alias("near_next"),
         share_in(F.col("edited_sketch"), F.col("sketch"), F.col("text")).alias("edited_in_own"),
-        "next_in_own",
-    )
+        share_in(F.col("next.sketch"), F.col("sketch"), F.col("text")).alias("next_in_own"),
+        F.sequence(F.lit(1).cast("long"), "n").alias("each"),
+    ).select("*", F.explode("each")).drop("each", "col")
