@@ -92,7 +92,8 @@ def bounds(keys: DataFrame) -> DataFrame:
 
     keys: a column ``key``, distinct. Only keys move; their ranges are Spark's, each cut into ``FINER`` buckets.
     """
-    ranged = keys.repartitionByRange("key").select("key", F.spark_partition_id().alias("range"))
+    ranges = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as told, adaptive execution would merge them
+    ranged = keys.repartitionByRange(ranges, "key").select("key", F.spark_partition_id().alias("range"))
     inside = Window.partitionBy("range")
     place = F.row_number().over(inside.orderBy("key")) - 1
     size = F.ceil(F.count("*").over(inside) / FINER)
