@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -36,18 +37,20 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows written to the cluster's shared checkpoint folder, without lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only a session of one machine may do without and gets a temporary folder."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
+    return folder or os.path.join(tempfile.gettempdir(), "ampflow-checkpoints")
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session without one (a local
-    test) gets a folder of its own.
-    """
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows written to the cluster's shared checkpoint folder, without lineage."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir")
-            or os.path.join(tempfile.gettempdir(), "ampflow-checkpoints")
-        )
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
