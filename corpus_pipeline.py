@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ampflow.llm import bpe, mixing, quality_rules, secrets, simhash
+from ampflow.llm.common import shared_folder
 
 #: The tokenizer's file; a parameter of the last stage.
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,17 +20,17 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each class of near-duplicates."""
+    """One document, that of the smallest doc_id, of each class of near-duplicates; of equal rows one."""
     return simhash.one_of_each(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their secrets replaced by a mark."""
+    """The documents with their secrets replaced by a mark; n_chars follows. A null text stays null."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as its source's target takes it."""
+    """Each document as many times as its source's target takes it; documents without words are taken 0 times or more."""
     return mixing.mix(docs)
 
 
@@ -48,17 +47,14 @@ STAGES = [
     ("bpe_encoding", encode_texts),
 ]
 
-#: SimHash and BPE are beyond SQL; the tests hold run() against a brute-force version.
+#: SimHash and BPE are beyond SQL; tests/llm/test_pipeline.py holds run() against plain loops.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written to the shared folder and read by the next."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(
-        tempfile.gettempdir(), "ampflow-checkpoints"
-    )
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    place = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}_{name}")
         docs = spark.read.parquet(f"{place}/{k}_{name}")
