@@ -10,7 +10,7 @@ from ampflow.operators.timeseries import DEVICE, PLAIN, TIME, Clock, Rolling, wi
 from ampflow.schema import Durations
 
 NEEDED = (
-    DEVICE, TIME, "battery_soc_pct", "battery_capacity_ah", "battery_voltage_v", "battery_temp_c", "battery_soh_pct",
+    DEVICE, TIME, "battery_soc_pct", "battery_usable_ah", "battery_voltage_v", "battery_temp_c", "battery_soh_pct",
     "cell_voltage_min", "cell_voltage_max",
 )
 SCORED = ("cell_imbalance", "battery_soh_pct", "battery_temp_c", "battery_soc_pct")

@@ -34,14 +34,14 @@ def correlation(a: str, b: str) -> Column:
 
 
 def correlation_matrix(df: DataFrame, rows: tuple[str, ...] = BATTERY, columns: tuple[str, ...] = GPS) -> DataFrame:
-    """(battery_column, gps_column, corr) of all pairs, in one aggregation."""
-    pairs = [(a, b) for a in rows for b in columns]
-    wide = df.agg(*[correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    entries = [
-        F.struct(F.lit(a).alias("battery_column"), F.lit(b).alias("gps_column"), F.col(f"c{i}").alias("corr"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return wide.select(F.inline(F.array(*entries)))
+    """(battery_column, gps_column, corr) of all pairs: each row gives one small row a pair, which tasks aggregate at once."""
+    pairs = list(enumerate((a, b) for a in rows for b in columns))
+    cells = [F.struct(F.lit(i).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y")) for i, (a, b) in pairs]
+    spread = df.select(F.inline(F.array(*cells))).where("x is not null and y is not null")
+    found = spread.groupBy("pair").agg(correlation("x", "y").alias("corr"))
+    names = [F.struct(F.lit(i).alias("pair"), F.lit(a).alias("battery_column"), F.lit(b).alias("gps_column")) for i, (a, b) in pairs]
+    every = df.sparkSession.range(1).select(F.inline(F.array(*names)))
+    return every.join(found, "pair", "left").select("battery_column", "gps_column", "corr")
 
 
 def soh_delta(df: DataFrame) -> DataFrame:

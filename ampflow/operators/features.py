@@ -10,7 +10,7 @@ from ampflow.operators.timeseries import DEVICE, KEY, PLAIN, TIME, Clock, Rollin
 from ampflow.schema import FEATURES, Durations
 
 REQUIRED = (
-    DEVICE, TIME, "battery_soc_pct", "battery_capacity_ah", "battery_voltage_v", "battery_temp_c", "battery_soh_pct",
+    DEVICE, TIME, "battery_soc_pct", "battery_usable_ah", "battery_voltage_v", "battery_temp_c", "battery_soh_pct",
     "capacity_charge_ah", "gps_speed_kmh", "cell_voltage_min", "cell_voltage_max",
 )
 TARGET = "target_soc_t_plus_10min"
@@ -26,7 +26,7 @@ def with_energy(keyed: DataFrame, durations: Durations = Durations(), clock: Clo
     """Adds soc_delta_5min, discharge_rate_wh and cell_imbalance to rows that have their key."""
     lagged = asof("battery_soc_pct", clock.until(durations.lag), durations.lag, tolerance)
     rows = keyed.select("*", (F.col("battery_soc_pct") - lagged).alias("soc_delta_5min"), cell_imbalance().alias("cell_imbalance"))
-    rate = F.col("soc_delta_5min") * F.col("battery_capacity_ah") * F.col("battery_voltage_v") * 10.0
+    rate = F.col("soc_delta_5min") * F.col("battery_usable_ah") * F.col("battery_voltage_v") * 10.0
     return rows.select("*", rate.alias("discharge_rate_wh"))
 
 
@@ -56,8 +56,8 @@ def soc_dataset(df: DataFrame, durations: Durations = Durations(), clock: Clock
         "soc_delta_5min",
         "cell_imbalance",
         (c("battery_temp_c") - c("rolling_temp_mean_7d")).alias("temp_deviation"),
-        (c("battery_capacity_ah") * c("battery_soh_pct") / 100.0).alias("soh_adjusted_cap"),
-        F.try_divide("capacity_charge_ah", "battery_capacity_ah").alias("charge_headroom"),
+        (c("battery_usable_ah") * c("battery_soh_pct") / 100.0).alias("soh_adjusted_cap"),
+        F.try_divide("capacity_charge_ah", "battery_usable_ah").alias("charge_headroom"),
         (c("gps_speed_kmh") * c("battery_soc_pct")).alias("speed_x_soc"),
         *[c(n) for n in FEATURES if n.startswith("rolling_")],
         F.when(F.coalesce("gps_speed_kmh", F.lit(0.0)) <= 0, c("discharge_rate_wh")).otherwise(0.0).alias("idle_drain"),

@@ -1,7 +1,7 @@
 """Isolation forest: an anomaly score from how early random splits isolate a row.
 
-Trees grow on the driver from a bounded sample (``SAMPLE`` rows each, chosen by hashes of the rows),
-and scoring is an expression-free Arrow pass over all rows.
+Trees grow on the driver from ``SAMPLE`` rows each, drawn from a bounded pool: the ``TREES * SAMPLE`` rows with the lowest
+hashes, so that each tree could have rows of its own. Scoring is an expression-free Arrow pass over all rows.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ def confidence(df: DataFrame, columns: tuple[str, ...], trees: int = TREES, samp
     medians = df.agg(*[F.percentile(c, 0.5).alias(c) for c in columns[1:]])
     fill = lambda c: F.lit(0.0) if c == columns[0] else F.coalesce(medians.select(c).scalar(), F.lit(0.0))
     filled = df.select("*", F.array(*[F.coalesce(F.col(c).cast("double"), fill(c)) for c in columns]).alias("__x"))
-    chosen = filled.orderBy(F.xxhash64(*columns, *[c for c in ("device_id", "ts") if c in df.columns])).limit(sample * 8)
+    chosen = filled.orderBy(F.xxhash64(*columns, *[c for c in ("device_id", "ts") if c in df.columns])).limit(sample * trees)
     pool = np.array([r["__x"] for r in chosen.select("__x").collect()], float)
     if not len(pool):
         return df.withColumn("confidence", F.lit(0.0))

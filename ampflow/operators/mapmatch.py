@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ampflow.operators.trips import track_km
+from ampflow.operators.timeseries import PLAIN, Clock
+from ampflow.operators.trips import points_of_trips, track_km, tracks
 
 #: (points) -> (route km or None, confidence, status)
 Matcher = Callable[[list[tuple[float, float]]], tuple[float | None, float, str]]
@@ -47,14 +48,18 @@ def http_matcher(url: str, profile: str = "driving", timeout: float = 10.0) -> M
         path = ";".join(f"{lon:.6f},{lat:.6f}" for lat, lon in points)
         try:
             with urllib.request.urlopen(f"{url}/match/v1/{profile}/{path}?overview=false", timeout=timeout) as answer:
-                found = json.load(answer).get("matchings") or []
+                answered = json.load(answer)
         except urllib.error.HTTPError as e:
             return None, 0.0, f"http_{e.code}:{e.read(200).decode(errors='replace')}"
         except Exception as e:  # a row of the result, not the end of the job
             return None, 0.0, f"request_error:{type(e).__name__}"
-        if not found:
-            return None, 0.0, "no_match"
-        return sum(m["distance"] for m in found) / 1000, max(m.get("confidence", 0.0) for m in found), "ok"
+        if not isinstance(answered, dict) or answered.get("code") != "Ok":
+            return None, 0.0, f"osrm_{answered.get('code') if isinstance(answered, dict) else 'invalid_json'}"
+        first = next(iter(answered.get("matchings") or []), None)
+        if first is None:
+            return None, 0.0, "no_matchings"
+        km, sure = first.get("distance"), float(first.get("confidence") or 0.0)
+        return (float(km) / 1000, sure, "ok") if km is not None else (None, sure, "missing_distance")
 
     return match
 
@@ -83,6 +88,19 @@ def match(tracks: DataFrame, matcher: Matcher, pause: float = 0.0) -> DataFrame:
     return tracks.withColumn("raw_gps_km", track_km(F.col("points"))).mapInPandas(run, MATCHED)
 
 
+def match_trips(rows: DataFrame, trips: DataFrame, matcher: Matcher, most: int = 50, clock: Clock = PLAIN) -> DataFrame:
+    """The discrepancy of every trip, one row each; the smoothed positions count if the rows have them.
+
+    A trip without a position has an empty track: 0 km and ``too_few_points``.
+    """
+    if "gps_lat_smooth" in rows.columns:
+        rows = rows.drop("gps_lat", "gps_lon").withColumnsRenamed({"gps_lat_smooth": "gps_lat", "gps_lon_smooth": "gps_lon"})
+    found = tracks(points_of_trips(rows, trips, clock), most)
+    none = F.array().cast(found.schema["points"].dataType)
+    every = trips.select("device_id", "trip_id").join(found, ["device_id", "trip_id"], "left")
+    return discrepancy(match(every.select("device_id", "trip_id", F.coalesce("points", none).alias("points")), matcher))
+
+
 def discrepancy(matched: DataFrame) -> DataFrame:
     """Adds discrepancy_km and discrepancy_pct and rounds as the report does."""
     raw, route = F.col("raw_gps_km"), F.col("matched_route_km")

@@ -29,7 +29,7 @@ class Clock:
     """How rows of a device are ordered and how far frames reach.
 
     Without ``tie`` (device, time) is unique and the key is microseconds. With ``tie`` (columns that
-    order rows of equal time, at most 1,024 of them; times then are whole milliseconds) the key leaves
+    order rows of equal time, at most 1,024 of them, else an error; times then are whole milliseconds) the key leaves
     room for a row's number among its equals, so that frames end at the row itself.
     """
 
@@ -42,7 +42,8 @@ class Clock:
             return rows.withColumn(KEY, micros())
         device = Window.partitionBy(DEVICE)
         nth = F.row_number().over(device.orderBy(TIME, *self.tie)) - F.rank().over(device.orderBy(TIME))
-        return rows.withColumn(KEY, micros() * TIES + F.least(nth, F.lit(TIES - 1)))
+        fits = F.when(nth < TIES, nth).otherwise(F.raise_error(F.lit(f"more than {TIES} rows of a device at one time")).cast("int"))
+        return rows.withColumn(KEY, micros() * TIES + fits)
 
     @property
     def window(self) -> WindowSpec:

@@ -3,8 +3,23 @@
 from __future__ import annotations
 
 from ampflow.plans.fixture import DURATIONS, SALT, TELEMETRY_SQL, TRIPS
-from ampflow.plans.queries import TRACK_POINTS
-from ampflow.schema import COLUMNS, CRITICAL_COLUMNS, FEATURES, NUMERIC_COLUMNS
+
+# Written out here, so that a mistake in the library's own lists shows.
+TRACK_POINTS = 50
+CRITICAL_COLUMNS = ("battery_soc_pct", "battery_voltage_v", "gps_lat", "gps_lon")
+COLUMNS = (
+    "device_id", "imei_token", "last_ping_time", "device_status", "gps_lat", "gps_lon", "gps_speed_kmh", "gps_delta_km", "gps_total_km",
+    "battery_state", "battery_soc_pct", "battery_capacity_ah", "battery_usable_ah", "capacity_discharge_ah", "capacity_charge_ah",
+    "battery_voltage_v", "cell_voltage_min", "cell_voltage_max", "battery_temp_c", "battery_soh_pct", "ts",
+)
+NUMERIC_COLUMNS = (
+    "gps_lat", "gps_lon", "gps_speed_kmh", "gps_delta_km", "gps_total_km", "battery_soc_pct", "battery_capacity_ah", "battery_usable_ah",
+    "capacity_discharge_ah", "capacity_charge_ah", "battery_voltage_v", "cell_voltage_min", "cell_voltage_max", "battery_temp_c", "battery_soh_pct",
+)
+FEATURES = (
+    "discharge_rate_wh", "soc_delta_5min", "cell_imbalance", "temp_deviation", "soh_adjusted_cap", "charge_headroom", "speed_x_soc",
+    "rolling_soc_std_1h", "rolling_speed_mean_5min", "rolling_temp_std_1h", "rolling_voltage_std_1h", "rolling_imbalance_mean_5min", "idle_drain",
+)
 
 D = DURATIONS
 BY = "PARTITION BY device_id ORDER BY us"
@@ -96,7 +111,7 @@ ENERGY = f"""h0 AS (
   SELECT t.*, t.battery_soc_pct - r.battery_soc_pct AS soc_delta_5min, t.cell_voltage_max - t.cell_voltage_min AS cell_imbalance,
          t.us - r.us AS back
   FROM t ASOF LEFT JOIN t r ON t.device_id = r.device_id AND t.us - {D.lag} >= r.us
-), h AS (SELECT *, soc_delta_5min * battery_capacity_ah * battery_voltage_v * 10 AS discharge_rate_wh FROM h0)"""
+), h AS (SELECT *, soc_delta_5min * battery_usable_ah * battery_voltage_v * 10 AS discharge_rate_wh FROM h0)"""
 
 
 def _rolled(agg: str, value: str, width: int, least: int) -> str:
@@ -117,8 +132,8 @@ AHEAD = f"""a AS (
 )"""
 SOC = f"""{ENERGY}, r AS (SELECT *, {", ".join(f"{sql} AS {name}" for name, sql in ROLLED.items())} FROM h), {AHEAD}, soc AS (
   SELECT r.device_id, r.ts, r.us, discharge_rate_wh, soc_delta_5min, cell_imbalance,
-         r.battery_temp_c - rolling_temp_mean_7d AS temp_deviation, r.battery_capacity_ah * r.battery_soh_pct / 100 AS soh_adjusted_cap,
-         r.capacity_charge_ah / r.battery_capacity_ah AS charge_headroom, r.gps_speed_kmh * r.battery_soc_pct AS speed_x_soc,
+         r.battery_temp_c - rolling_temp_mean_7d AS temp_deviation, r.battery_usable_ah * r.battery_soh_pct / 100 AS soh_adjusted_cap,
+         r.capacity_charge_ah / r.battery_usable_ah AS charge_headroom, r.gps_speed_kmh * r.battery_soc_pct AS speed_x_soc,
          {", ".join(n for n in ROLLED if n in FEATURES)},
          CASE WHEN coalesce(r.gps_speed_kmh, 0) <= 0 THEN discharge_rate_wh ELSE 0 END AS idle_drain,
          target AS target_soc_t_plus_10min

@@ -59,8 +59,8 @@ CANONICAL = T.StructType(
     ]
 )
 
-#: Columns whose null rate is reported when it is above CRITICAL_NULL_PCT.
-CRITICAL_COLUMNS = ("device_id", "ts", "battery_soc_pct", "gps_lat", "gps_lon")
+# Columns whose null rate is reported when it is above CRITICAL_NULL_PCT.
+CRITICAL_COLUMNS = ("battery_soc_pct", "battery_voltage_v", "gps_lat", "gps_lon")
 CRITICAL_NULL_PCT = 5.0
 
 FEATURES = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None:
@@ -16,12 +16,19 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One text in one file of the folder path, wherever Spark can write."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def html_table(df: DataFrame, most: int = 200) -> str:
-    """The first ``most`` rows of a report's frame; nulls are empty cells."""
+    """The first ``most`` rows of a report's frame, and a note if there are more; nulls are empty cells."""
     cell = lambda tag, v: f"<{tag}>{'' if v is None else html.escape(str(v))}</{tag}>"
     head = "".join(cell("th", c) for c in df.columns)
-    rows = ["".join(cell("td", v) for v in row) for row in df.limit(most).collect()]
-    return f"<table><tr>{head}</tr>" + "".join(f"<tr>{r}</tr>" for r in rows) + "</table>"
+    found = df.limit(most + 1).collect()
+    rows = ["".join(cell("td", v) for v in row) for row in found[:most]]
+    note = f"<p>The first {most} of {df.count()} rows.</p>" if len(found) > most else ""
+    return f"<table><tr>{head}</tr>" + "".join(f"<tr>{r}</tr>" for r in rows) + f"</table>{note}"
 
 
 def html_report(title: str, parts: dict[str, DataFrame]) -> str:
