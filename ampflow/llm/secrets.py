@@ -293,9 +293,10 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span replaced by a mark; n_chars, if there, follows the text."""
     clean = F.when(F.size("__s_spans") > 0, replaced(whole("text"), F.col("__s_spans"), lambda n: F.lit(mark))).otherwise(F.col("text"))
-    out = scan(docs)
-    changed = out.select(*[clean.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    # Behind a generator the expression stays whole: a reader that uses the text often does not repeat it.
+    opaque = scan(docs).select(*own, F.explode(F.array(clean)).alias("__s_clean"))
+    of = {"text": F.col("__s_clean")}
     if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        changed = changed.withColumn("n_chars", F.length("text").cast(kind))
-    return changed
+        of["n_chars"] = F.length("__s_clean").cast(dict(docs.dtypes)["n_chars"])
+    return opaque.select(*[of[c].alias(c) if c in of else F.col(f"`{c}`") for c in docs.columns])
