@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +14,7 @@ from ampflow.functions.geo import finite, haversine_km
 from ampflow.operators.timeseries import DEVICE, KEY, PLAIN, TIME, Clock, seconds_between, with_run
 from ampflow.schema import SECOND, Kalman
 
+PLACE = ("gps_lat", "gps_lon")
 FLAGS = ("gps_anomaly_position_jump", "gps_anomaly_signal_dropout", "gps_anomaly_coordinate_freeze")
 
 
@@ -76,47 +78,64 @@ def jump_severity(flagged: DataFrame, under_sec: float = 60.0) -> DataFrame:
     return flagged.where(jump).select(DEVICE, TIME, "delta_km_haversine", "delta_sec")
 
 
-def kalman_axis(values: list[float | None], start: float, noise: Kalman) -> list[float]:
-    """A random walk seen through noise; rows without a value only predict."""
-    x, p, out = start, noise.initial, []
+def kalman_axis(values: list[float | None], x: float, p: float, noise: Kalman) -> tuple[list[float], float, float]:
+    """A random walk seen through noise, from the state (x, p): the positions and the state after them.
+
+    Rows without a value only predict.
+    """
+    out = []
     for z in values:
         p += noise.process
-        if z is not None and math.isfinite(z):
+        if z is not None:
             gain = p / (p + noise.measurement)
             x += gain * (z - x)
             p *= 1 - gain
         out.append(x)
-    return out
-
+    return out, x, p
 
-def starts(lat: list[float | None], lon: list[float | None]) -> tuple[float, float]:
-    """Where the filter starts: the first row with both, else the first of each, else 0."""
-    good = lambda v: v is not None and math.isfinite(v)
-    for a, b in zip(lat, lon):
-        if good(a) and good(b):
-            return a, b
-    return next((a for a in lat if good(a)), 0.0), next((b for b in lon if good(b)), 0.0)
 
-
-def smooth(df: DataFrame, noise: Kalman = Kalman(), mask_dropouts: bool = False) -> DataFrame:
+def smooth(df: DataFrame, noise: Kalman = Kalman(), mask_dropouts: bool = False, clock: Clock = PLAIN) -> DataFrame:
     """Adds gps_lat_smooth and gps_lon_smooth.
 
-    The recursion has no relational form, so each device's positions pass through one Python
-    group in Arrow; the other columns travel along. mask_dropouts: fixes at (0, 0) only predict.
+    The filter starts at the device's first row with both coordinates, else at the first of each, else at 0; a window
+    finds that place. The recursion has no relational form: Arrow batches of a partition, sorted by device and time, pass
+    through it one by one, and the state goes from batch to batch, so a device of any length needs the memory of one batch.
+    mask_dropouts: fixes at (0, 0) only predict.
     """
-    rows = df.where(F.col(DEVICE).isNotNull() & F.col(TIME).isNotNull())
-    fields = T.StructType(
-        [*rows.schema.fields, T.StructField("gps_lat_smooth", T.DoubleType()), T.StructField("gps_lon_smooth", T.DoubleType())]
+    rows = clock.keyed(df)
+    own = [c for c in rows.columns if c != KEY]
+    hidden = dropped_out() & F.lit(mask_dropouts)
+    seen = rows.select("*", *[F.when(finite(F.col(c)) & ~hidden, F.col(c).cast("double")).alias(f"__{c}") for c in PLACE])
+    whole = clock.window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = lambda c: F.first(c, ignorenulls=True).over(whole)
+    both = F.when(F.col("__gps_lat").isNotNull() & F.col("__gps_lon").isNotNull(), F.struct("__gps_lat", "__gps_lon"))
+    begun = seen.select("*", first(both).alias("__both"), *[first(f"__{c}").alias(f"__first_{c}") for c in PLACE]).select(
+        *rows.columns,
+        *[f"__{c}" for c in PLACE],
+        *[F.coalesce(F.col("__both")[f"__{c}"], f"__first_{c}", F.lit(0.0)).alias(f"__from_{c}") for c in PLACE],
     )
-
-    def run(device: pd.DataFrame) -> pd.DataFrame:
-        device = device.sort_values(TIME, kind="stable", ignore_index=True)
-        axes = []
-        out_of_sight = (device["gps_lat"] == 0) & (device["gps_lon"] == 0) & mask_dropouts
-        for c in ("gps_lat", "gps_lon"):
-            axes.append([None if pd.isna(v) or hidden else float(v) for v, hidden in zip(device[c], out_of_sight)])
-        for name, values, start in zip(("gps_lat_smooth", "gps_lon_smooth"), axes, starts(*axes)):
-            device[name] = kalman_axis(values, start, noise)
-        return device
-
-    return rows.groupBy(DEVICE).applyInPandas(run, fields)
+    fields = T.StructType([rows.schema[c] for c in own])
+    for c in PLACE:
+        fields = fields.add(f"{c}_smooth", T.DoubleType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        device, state = None, {}
+        for batch in batches:
+            n = batch.num_rows
+            names = batch.column(DEVICE)
+            steps = pc.not_equal(names.slice(1), names.slice(0, max(0, n - 1))).to_numpy(zero_copy_only=False)
+            edges = [0, *(steps.nonzero()[0] + 1).tolist(), n] if n else [0]
+            out = {c: [] for c in PLACE}
+            for start, end in zip(edges, edges[1:]):
+                if names[start].as_py() != device:
+                    device = names[start].as_py()
+                    state = {c: (batch.column(f"__from_{c}")[start].as_py(), noise.initial) for c in PLACE}
+                for c in PLACE:
+                    values = batch.column(f"__{c}").slice(start, end - start).to_pylist()
+                    found, *after = kalman_axis(values, *state[c], noise)
+                    state[c] = tuple(after)
+                    out[c] += found
+            smoothed = [pa.array(out[c], pa.float64()) for c in PLACE]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in own] + smoothed, names=fields.names)
+
+    return begun.sortWithinPartitions(DEVICE, KEY).mapInArrow(run, fields)
