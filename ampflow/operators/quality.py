@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampflow.operators.timeseries import DEVICE, PLAIN, Clock, with_gap
+from ampflow.operators.timeseries import DEVICE, PLAIN, TIME, Clock, seconds_between, with_gap
 from ampflow.schema import COLUMNS, CRITICAL_COLUMNS, CRITICAL_NULL_PCT, MINUTE, SECOND
 
 
-
 def checks() -> dict[str, Column]:
     c = F.col
     outside = lambda name, low, high: (c(name) < low) | (c(name) > high)
@@ -71,10 +70,11 @@ def out_of_range(df: DataFrame) -> DataFrame:
     return counted.select(F.inline(F.array(*pairs)))
 
 
-def delayed_devices(df: DataFrame, over: int = MINUTE, share: float = 0.1, clock: Clock = PLAIN) -> DataFrame:
-    """Devices of whose rows more than a share came late after the one before."""
-    late = F.count_if(F.col("gap_sec") > over / 1e6)
-    counted = with_gap(df, clock).groupBy(DEVICE).agg(F.count("*").alias("n_rows"), late.alias("n_delayed"))
+def delayed_devices(df: DataFrame, over: int = MINUTE, share: float = 0.1) -> DataFrame:
+    """Devices of whose rows more than a share came late after the one before; rows without a time are rows, but never late."""
+    before = F.lag(TIME).over(Window.partitionBy(DEVICE).orderBy(TIME))
+    rows = df.where(F.col(DEVICE).isNotNull()).select(DEVICE, seconds_between(F.col(TIME), before).alias("gap_sec"))
+    counted = rows.groupBy(DEVICE).agg(F.count("*").alias("n_rows"), F.count_if(F.col("gap_sec") > over / 1e6).alias("n_delayed"))
     return counted.withColumn("delayed_ratio", F.col("n_delayed") / F.col("n_rows")).where(F.col("delayed_ratio") > share)
 
 
@@ -118,8 +118,6 @@ def imbalance_histogram(df: DataFrame, bins: int = 50) -> DataFrame:
 
 def figure_pages(df: DataFrame, each: int = 9) -> DataFrame:
     """(device, n, page): devices by number of rows, so many on a page."""
-    from pyspark.sql import Window
-
     counts = df.where(F.col(DEVICE).isNotNull()).groupBy(DEVICE).agg(F.count("*").alias("n"))
     nth = F.row_number().over(Window.orderBy(F.desc("n"), DEVICE)) - 1
     return counts.select(DEVICE, "n", F.floor(nth / each).cast("int").alias("page"))
