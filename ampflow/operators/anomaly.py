@@ -18,7 +18,7 @@ SCORED = ("cell_imbalance", "battery_soh_pct", "battery_temp_c", "battery_soc_pc
 
 def prepared(df: DataFrame, durations: Durations = Durations(), clock: Clock = PLAIN) -> DataFrame:
     """The rows with what the rules compare: discharge and its mean size, the week's best health, the step in charge."""
-    rows = with_energy(clock.keyed(df.select(*NEEDED, *[c for c in df.columns if c == "confidence"])), durations, clock)
+    rows = with_energy(clock.keyed(df.select(*NEEDED, *clock.tie, *[c for c in df.columns if c == "confidence"])), durations, clock)
     rolled = with_rolling(
         rows,
         clock,

@@ -75,11 +75,15 @@ def hotspots(df: DataFrame, k: int = 3) -> DataFrame:
 
 
 def map_center(df: DataFrame, k: int = 2) -> DataFrame:
-    """The centres of the heat map (means) and of the map of the busiest devices (medians), with the default place."""
+    """The centres of the heat map (means) and of the map of the busiest devices (medians), with the default place.
+
+    Where the busiest devices have no median, that of their smoothed positions counts, if the rows have them.
+    """
     heat = located(df).agg(F.avg("gps_lat").alias("heat_lat"), F.avg("gps_lon").alias("heat_lon"))
     devices = top_devices(df, k, F.col("gps_lat").isNotNull() & F.col("gps_lon").isNotNull()).select(DEVICE)
     chosen = df.join(F.broadcast(devices), DEVICE, "left_semi")
-    middle = chosen.agg(F.percentile("gps_lat", 0.5).alias("lat"), F.percentile("gps_lon", 0.5).alias("lon"))
+    median = lambda c: [F.percentile(name, 0.5) for name in (c, f"{c}_smooth") if name in df.columns]
+    middle = chosen.agg(F.coalesce(*median("gps_lat")).alias("lat"), F.coalesce(*median("gps_lon")).alias("lon"))
     place = lambda c, default: F.coalesce(c, F.lit(default))
     return heat.select(
         place("heat_lat", 20.0).alias("heat_lat"),

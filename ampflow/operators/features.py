@@ -43,9 +43,9 @@ def rolling_columns(durations: Durations = Durations()) -> list[Rolling]:
 
 
 def soc_dataset(df: DataFrame, durations: Durations = Durations(), clock: Clock = PLAIN, tolerance: int | None = None) -> DataFrame:
-    """(device, ts, features, target): one row for each ping with a target."""
+    """(device, ts, features, target, and what orders ties): one row for each ping with a target."""
     require(df)
-    rows = with_energy(clock.keyed(df.select(*dict.fromkeys(REQUIRED))), durations, clock, tolerance)
+    rows = with_energy(clock.keyed(df.select(*dict.fromkeys([*REQUIRED, *clock.tie]))), durations, clock, tolerance)
     rolled = with_rolling(rows, clock, rolling_columns(durations))
     ahead = asof("battery_soc_pct", clock.after(durations.horizon), durations.horizon, tolerance)
     c = F.col
@@ -62,8 +62,9 @@ def soc_dataset(df: DataFrame, durations: Durations = Durations(), clock: Clock
         *[c(n) for n in FEATURES if n.startswith("rolling_")],
         F.when(F.coalesce("gps_speed_kmh", F.lit(0.0)) <= 0, c("discharge_rate_wh")).otherwise(0.0).alias("idle_drain"),
         ahead.alias(TARGET),
+        *clock.tie,
     )
-    return built.where(c(TARGET).isNotNull()).select(DEVICE, TIME, *FEATURES, TARGET)
+    return built.where(c(TARGET).isNotNull()).select(DEVICE, TIME, *FEATURES, TARGET, *clock.tie)
 
 
 def with_split(df: DataFrame, share: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -76,13 +77,13 @@ def with_split(df: DataFrame, share: tuple[int, int] = (4, 5)) -> DataFrame:
     return placed.select(*df.columns, (F.col(TIME) >= cut).cast("int").alias("is_test"))
 
 
-def folds(df: DataFrame, k: int = 3) -> DataFrame:
+def folds(df: DataFrame, k: int = 3, clock: Clock = PLAIN) -> DataFrame:
     """(fold, role, and the row): expanding time folds of each device; role is train or valid.
 
     Fold f trains on a device's first rows and validates on the part after; devices of fewer than five rows
     are left out.
     """
-    order, device = Window.partitionBy(DEVICE).orderBy(TIME), Window.partitionBy(DEVICE)
+    order, device = Window.partitionBy(DEVICE).orderBy(TIME, *clock.tie), Window.partitionBy(DEVICE)
     rows = df.select("*", F.row_number().over(order).alias("__i"), F.count("*").over(device).alias("__m")).where("__m >= 5")
     spread = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
     m, f = F.col("__m"), F.col("fold")
@@ -93,11 +94,12 @@ def folds(df: DataFrame, k: int = 3) -> DataFrame:
     return both.select("fold", role.alias("role"), *df.columns).where("role is not null")
 
 
-def sequences(df: DataFrame, features: tuple[str, ...] = FEATURES, length: int = 10) -> DataFrame:
+def sequences(df: DataFrame, features: tuple[str, ...] = FEATURES, length: int = 10, clock: Clock = PLAIN) -> DataFrame:
     """(device, ts, sequence, target): the last ``length`` rows' features of every row that has so many."""
-    recent = Window.partitionBy(DEVICE).orderBy(TIME).rowsBetween(1 - length, 0)
-    rows = df.select(DEVICE, TIME, TARGET, F.array(*[F.col(c).cast("double") for c in features]).alias("__x"))
-    return rows.select(DEVICE, TIME, F.collect_list("__x").over(recent).alias("sequence"), TARGET).where(F.size("sequence") == length)
+    recent = Window.partitionBy(DEVICE).orderBy(TIME, *clock.tie).rowsBetween(1 - length, 0)
+    rows = df.select(DEVICE, TIME, TARGET, *clock.tie, F.array(*[F.col(c).cast("double") for c in features]).alias("__x"))
+    listed = rows.select(DEVICE, TIME, F.collect_list("__x").over(recent).alias("sequence"), TARGET, *clock.tie)
+    return listed.where(F.size("sequence") == length)
 
 
 def with_validation(seqs: DataFrame, percent: int = 15, least: int = 10) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ampflow.schema import (
@@ -16,12 +16,22 @@ from ampflow.schema import (
     ROOT_TIMES,
 )
 
+INGEST_SEQ = "ingest_seq"
+
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
     """The CSV as text columns; a payload may hold line ends and doubled quotes."""
     return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
 
 
+def numbered(df: DataFrame, name: str = INGEST_SEQ) -> DataFrame:
+    """Adds the order of ingestion: rows of a file by their place, files in the order in which Spark deals them.
+
+    Take it right after reading and write it with the rows; a later job would number them anew.
+    """
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def payload_column(df: DataFrame) -> str:
     """``payload`` itself, else the one column of that name in another case."""
     if "payload" in df.columns:
@@ -52,11 +62,11 @@ def parsed_time(value: Column) -> Column:
     )
 
 
-def canonical(df: DataFrame, salt: str = "") -> DataFrame:
-    """The 21 columns of every message that has an identifier.
+def canonical(df: DataFrame, salt: str = "", keep: tuple[str, ...] = (), counts: Observation | None = None) -> DataFrame:
+    """The 21 columns of every message that has an identifier, and the columns to keep.
 
     A message that is no JSON object has none, and neither has one whose payload is no object; both
-    go. A value that is no number becomes null; so does a NaN.
+    go. A value that is no number becomes null; so does a NaN. counts: told n_read and n_skipped by the next action.
     """
     column = payload_column(df)
     m = F.from_json(F.col(f"`{column}`"), MESSAGE)
@@ -79,7 +89,10 @@ def canonical(df: DataFrame, salt: str = "") -> DataFrame:
     for c in NUMERIC_COLUMNS:
         number = values[c].try_cast("double")
         values[c] = F.when(~F.isnan(number), number)
-    return rows.where(F.coalesce(p["deviceId"], p["imei"]).isNotNull()).select(*[values[c].alias(c) for c in COLUMNS])
+    known = F.coalesce(p["deviceId"], p["imei"]).isNotNull()
+    if counts is not None:
+        rows = rows.observe(counts, F.count("*").alias("n_read"), F.count_if(~known).alias("n_skipped"))
+    return rows.where(known).select(*[values[c].alias(c) for c in COLUMNS], *keep)
 
 
 def enforced(df: DataFrame) -> DataFrame:
