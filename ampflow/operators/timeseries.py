@@ -99,43 +99,56 @@ class Rolling:
 def with_rolling(keyed: DataFrame, clock: Clock, wanted: list[Rolling]) -> DataFrame:
     """Adds rolling means, sample deviations and maxima to rows that have their key.
 
-    Means and deviations come from running sums and the running sums as of the window's start, so
-    their work does not grow with the window's width. Values are taken relative to the
-    device's first, which keeps the squares small. A maximum has no inverse and slides.
+    Means and deviations come from running sums within blocks of time as long as the widest window, so a window reaches
+    over a row's block and the one before: the sums so far, those of the block before, less those as of the window's
+    start. The work does not grow with a window's width, and no sum with a device's history. Values are
+    taken relative to the device's first, which keeps the squares small. A maximum has no inverse and slides.
     """
-    running = clock.window.rowsBetween(Window.unboundedPreceding, 0)
     linear = [r for r in wanted if r.kind in ("avg", "std")]
     own = keyed.columns
+    block = max([r.width for r in linear], default=1)
+    running = clock.window.rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(DEVICE, "__start").orderBy(KEY).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(DEVICE).orderBy("__start").rangeBetween(Window.unboundedPreceding, -block)
     first = keyed.select(
         "*",
+        (micros() - F.pmod(micros(), F.lit(block))).alias("__start"),
         *[F.first(r.value, ignorenulls=True).over(running).alias(f"__{r.name}_0") for r in linear],
         *[r.value.alias(f"__{r.name}_v") for r in linear],
         *[_slid(r, clock).alias(r.name) for r in wanted if r.kind == "max"],
     )
-    moved = first.select(
-        "*",
-        *[
-            F.struct(
-                F.count(f"__{r.name}_v").over(running).alias("n"),
-                F.coalesce(F.sum(F.col(f"__{r.name}_v") - F.col(f"__{r.name}_0")).over(running), F.lit(0.0)).alias("s"),
-                F.coalesce(
-                    F.sum(F.pow(F.col(f"__{r.name}_v") - F.col(f"__{r.name}_0"), F.lit(2))).over(running), F.lit(0.0)
-                ).alias("q"),
-            ).alias(f"__{r.name}_r")
-            for r in linear
-        ],
-    )
-    before = moved.select("*", *[F.last(f"__{r.name}_r").over(clock.until(r.width)).alias(f"__{r.name}_b") for r in linear])
+
+    def sums(r: Rolling) -> Column:
+        moved = F.col(f"__{r.name}_v") - F.col(f"__{r.name}_0")
+        zero = F.lit(0.0)
+        return F.struct(
+            F.count(moved).over(inside).alias("n"),
+            F.coalesce(F.sum(moved).over(inside), zero).alias("s"),
+            F.coalesce(F.sum(moved * moved).over(inside), zero).alias("q"),
+        )
+
+    summed = first.select("*", F.struct("__start", *[sums(r).alias(r.name) for r in linear]).alias("__now"))
+    prior = summed.select("*", F.max_by("__now", KEY).over(earlier).alias("__prior"))
+    widths = sorted({r.width for r in linear})
+    before = prior.select("*", *[F.last("__now").over(clock.until(w)).alias(f"__before_{w}") for w in widths])
+
+    def part(r: Rolling, f: str) -> Column:
+        now, past, gone = F.col("__now"), F.col("__prior"), F.col(f"__before_{r.width}")
+        start = F.col("__start")
+        both = now[r.name][f] + F.when(past["__start"] == start - block, past[r.name][f]).otherwise(0)
+        within = F.when(gone["__start"] == start, now[r.name][f] - gone[r.name][f])
+        return within.when(gone["__start"] == start - block, both - gone[r.name][f]).otherwise(both)
+
+    parts = before.select("*", *[F.struct(*[part(r, f).alias(f) for f in "nsq"]).alias(f"__{r.name}_w") for r in linear])
 
     def of(r: Rolling) -> Column:
-        part = lambda f: F.col(f"__{r.name}_r")[f] - F.coalesce(F.col(f"__{r.name}_b")[f], F.lit(0))
-        n, s, q = part("n"), part("s"), part("q")
+        n, s, q = (F.col(f"__{r.name}_w")[f] for f in "nsq")
         if r.kind == "avg":
             return F.when(n >= r.least, F.try_divide(s, n) + F.col(f"__{r.name}_0"))
         spread = F.greatest(F.try_divide(q - F.try_divide(s * s, n), n - 1), F.lit(0.0))
         return F.when(n >= F.greatest(F.lit(r.least), F.lit(2)), F.sqrt(spread))
 
-    return before.select(*own, *[(F.col(r.name) if r.kind == "max" else of(r)).alias(r.name) for r in wanted])
+    return parts.select(*own, *[(F.col(r.name) if r.kind == "max" else of(r)).alias(r.name) for r in wanted])
 
 
 def _slid(r: Rolling, clock: Clock) -> Column:

@@ -208,3 +208,27 @@ def test_tracks_are_thinned_at_even_steps(spark, n, most):
     points = spark.createDataFrame(rows, f"device_id string, trip_id string, {ts.KEY} long, gps_lat double, gps_lon double")
     kept = sorted({round(j * (n - 1) / (most - 1)) for j in range(most)}) if n > most else range(n)
     assert [p.lat for p in trips.tracks(points, most).first().points] == [rows[i][3] for i in kept]
+
+
+def test_rolling_over_a_long_history_keeps_its_digits(spark):
+    """Windows of two widths over several blocks, gaps of more than a block, and large values long before."""
+    rng = random.Random(11)
+    at, rows = 0, []
+    for i in range(400):
+        at += rng.choice([1, 2, 3, 3, 40, 95])
+        rows.append((at, 1e12 if i == 3 else rng.choice([None, 1.0, 2.0, 7.5])))
+    df = pings(spark, [("a", s, {"battery_temp_c": v}) for s, v in rows])
+    wanted = [ts.Rolling(f"{k}_{w}", F.col("battery_temp_c"), k, w * SECOND, 2) for k in ("avg", "std") for w in (30, 7)]
+    got = ts.with_rolling(ts.PLAIN.keyed(df), ts.PLAIN, wanted).orderBy("ts").collect()
+    checked = 0
+    for i, (s, _) in enumerate(rows):
+        for w in (30, 7):
+            inside = [v for t, v in rows[: i + 1] if s - w < t and v is not None]
+            if len(inside) < 2 or max(inside) > 100:
+                continue
+            mean = sum(inside) / len(inside)
+            dev = math.sqrt(sum((v - mean) ** 2 for v in inside) / (len(inside) - 1))
+            if s > rows[3][0] + 60:
+                assert got[i][f"avg_{w}"] == pytest.approx(mean, abs=1e-9) and got[i][f"std_{w}"] == pytest.approx(dev, abs=1e-7)
+                checked += 1
+    assert checked > 200
