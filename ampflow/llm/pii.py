@@ -45,14 +45,21 @@ NET = {
     "iban": re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?"),
 }
 #: Takes one letter and looks ahead at the rest, so a name behind another capitalised word is tried too.
-NAME = re.compile(r"[A-Z](?=([a-z]+) [A-Z][a-z]+(?P<end>))")
+NAME = re.compile(r"[A-Z](?=[a-z]+ [A-Z][a-z]+(?P<end>))")
 DIGIT = re.compile(r"[0-9]")
 
-#: Gazetteers: common given names and ends of host names.
+#: Gazetteers: common given names of several languages and ends of host names.
 GIVEN = frozenset(
-    "James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica "
-    "Thomas Sarah Charles Karen Daniel Anna Peter Maria Hans Ursula Klaus Monika Jean Marie Pierre Sophie Luis Carmen "
-    "Carlos Lucia Pedro Elena Andrew Emma Paul Laura Mark Julia George Alice".split()
+    "Adam Ahmed Alan Albert Alessandro Alex Alexander Alice Amanda Amy Ana Andrea Andreas Andrew Angela Ann Anna Anne Anthony "
+    "Antonio Barbara Benjamin Bernard Brian Bruno Camille Carla Carlos Carmen Carol Caroline Catherine Charles Charlotte "
+    "Chiara Christian Christine Christopher Claire Claudia Daniel David Deborah Diana Diego Donald Dorothy Edward Elena "
+    "Elizabeth Emily Emma Eric Eva Fatima Federico Felix Fernando Francesca Francesco Francisco Frank Franz Gabriel George "
+    "Giovanni Giulia Giuseppe Hannah Hans Heinz Helen Helga Henri Henry Ibrahim Ines Ingrid Isabel Jack Jacob James Jan Jane "
+    "Jason Javier Jean Jennifer Jessica Joan John Jonas Jonathan Jorge Jose Joseph Juan Judith Julia Julie Karen Karl Kevin "
+    "Klaus Laura Lea Leon Lisa Louis Lucas Lucia Luis Luca Manuel Marco Margaret Maria Marie Mario Mark Marta Martin Mary "
+    "Matthew Michael Michel Miguel Mohammed Monika Nancy Nathalie Nicholas Nicolas Nicole Nina Olga Oliver Olivia Omar Pablo "
+    "Pamela Patricia Patrick Paul Paula Pedro Peter Philip Philippe Pierre Rachel Raymond Rebecca Richard Robert Rosa Ruth "
+    "Samuel Sandra Sara Sarah Sebastian Simon Sofia Sophie Stefan Stephen Susan Teresa Thomas Ursula William Wolfgang Yusuf".split()
 )
 ENDINGS = frozenset("com org net edu gov info io de fr es uk it nl eu ch at us ca".split())
 TITLES = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame)\.? $")
@@ -67,7 +74,7 @@ NEAR = {
 }
 AGAINST = re.compile(r"version|v\.? ?$|isbn|page|chapter|section|order no|part no|§ ?$", re.I)
 
-VOTERS = 5
+PSEUDO = 0.25
 
 
 def luhn(digits: str) -> bool:
@@ -133,11 +140,7 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     digits = bool(DIGIT.search(text))
     for rank, kind in enumerate(KINDS):
         if kind == "name":
-            found |= {
-                (m.start(), rank, m.end("end"))
-                for m in NAME.finditer(text)
-                if m[0] + m[1] in GIVEN or TITLES.search(text, max(0, m.start() - 12), m.start())
-            }
+            found |= {(m.start(), rank, m.end("end")) for m in NAME.finditer(text)}
         elif kind == "email":
             found |= {(start, rank, end) for start, end in spelled_emails(text)}
         elif digits:
@@ -152,16 +155,16 @@ def _iban_ok(value: str) -> bool:
 
 
 def votes(kind: str, value: str, left: str, right: str) -> tuple[int, ...]:
-    """Of each labeler 1 (for), -1 (against) or 0 (no opinion)."""
+    """Of each labeler 1 (for), -1 (against) or 0 (no opinion, so where nearly every candidate of the net would pass)."""
     digits = "".join(DIGIT.findall(value))
     strict = {
         "email": "@" in value,
         "ip": IP.fullmatch(value) is not None,
         "card": re.fullmatch(r"[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[0-9]{14}", value) is not None,
-        "phone": value.startswith("+"),
-        "ssn": True,
+        "phone": value.startswith("+") or None,
+        "ssn": None,  # the net asks for this shape, so it says nothing
         "iban": " " not in value or all(len(p) == 4 for p in value.split(" ")[:-1]),
-        "name": False,
+        "name": None,
     }[kind]
     if kind == "card":
         check = 1 if luhn(digits) else -1
@@ -170,19 +173,19 @@ def votes(kind: str, value: str, left: str, right: str) -> tuple[int, ...]:
     elif kind == "ip":
         check = 1 if all(int(p) <= 255 and (p == "0" or p[0] != "0") for p in value.split(".")) else -1
     elif kind == "phone":
-        check = 1 if 10 <= len(digits) <= 15 else -1
+        check = 0 if 10 <= len(digits) <= 15 else -1  # the net asks for so many, so it says nothing for a phone
     elif kind == "ssn":
-        check = -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1
+        check = -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 0
     else:
         check = 0
     listed = 0
     if kind == "email":
         listed = 1 if re.split(r"[. \])]+", value)[-1].lower() in ENDINGS else -1
     elif kind == "name":
-        listed = 1 if value.split(" ")[0] in GIVEN else -1
+        listed = 1 if value.split(" ")[0] in GIVEN else 0  # no list has every name
     near = 1 if NEAR[kind].search(left) or (kind == "name" and TITLES.search(left)) else -1 if AGAINST.search(left) else 0
-    border = -1 if (left[-1:].isalnum() or right[:1].isalnum() or (left[-1:] in ".-" and left[-2:-1].isdigit())) else 1
-    return (1 if strict else -1, check, listed, near, border)
+    border = -1 if (left[-1:].isalnum() or right[:1].isalnum() or (left[-1:] in ".-" and left[-2:-1].isdigit())) else 0
+    return (0 if strict is None else 1 if strict else -1, check, listed, near, border)
 
 
 def describe(kind: str, value: str, left: str, right: str) -> tuple[int, ...]:
@@ -212,22 +215,26 @@ def expectation_maximisation(table: dict[tuple[int, ...], int], rounds: int = 50
     """P(true) of each vote pattern of one kind, as counts of patterns -> posteriors.
 
     Two classes; given the class, the labelers are independent and each has its own probabilities of a
-    vote for, none and against. Starts from the majority,
-    in which a checksum counts three times; pseudo-counts keep labelers that never vote harmless.
+    vote for, none and against. Starts from the majority, in which a checksum counts three times. Few labelers and rare
+    votes leave such a mixture open, so each labeler has pseudo-votes, ``PSEUDO`` of the candidates' number for a class:
+    its own votes, those for leaning two to one to the true class and those against to the other. A labeler that always
+    votes the same thus says nothing, and candidates of which no labeler says more than of others are rather false.
     """
     patterns = list(table)
     n = np.array([table[p] for p in patterns], float)
     vote = np.array(patterns) + 1
     post = 1 / (1 + np.exp(-2.0 * ((vote - 1).sum(axis=1) + 2 * (vote[:, 1] - 1))))
+    own = PSEUDO * n.sum()
+    lean = np.array([0.5, 1.0, 2.0])
     for _ in range(rounds):
-        odds = np.log((n @ post + 1) / (n @ (1 - post) + 1))
-        scores = np.full(len(patterns), odds)
+        scores = np.full(len(patterns), np.log((n @ post + 0.9 * own) / (n @ (1 - post) + 1.1 * own)))
         for k in range(vote.shape[1]):
-            for level in range(3):
+            often = np.array([n[vote[:, k] == level].sum() for level in range(3)])
+            prior_good, prior_bad = (often * side / (often @ side) for side in (lean, lean[::-1]))
+            for level in np.flatnonzero(often):
                 here = vote[:, k] == level
-                # A vote for is never evidence against, before any data: three pseudo-votes lean to the labeler's side.
-                good = ((n * post)[here].sum() + 1 + (level == 2)) / (n @ post + 4)
-                bad = ((n * (1 - post))[here].sum() + 1 + (level == 0)) / (n @ (1 - post) + 4)
+                good = ((n * post)[here].sum() + own * prior_good[level]) / (n @ post + own)
+                bad = ((n * (1 - post))[here].sum() + own * prior_bad[level]) / (n @ (1 - post) + own)
                 scores[here] += np.log(good / bad)
         post = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
     return dict(zip(patterns, post.tolist()))
