@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import re
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,14 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 def whole(text: str | Column = "text") -> Column:
     """The text, where null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -54,6 +63,44 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as Parquet to the shared folder and read again: columns apart and compressed, unlike ``durable``."""
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has (upper and lower case alike)."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+#: Bytes of a text that are cut into words at once.
+PIECE = 1 << 20
+
+
+def pieces_of(text: bytes, size: int = PIECE) -> Iterator[bytes]:
+    """The text in pieces of about ``size`` bytes that end at a space; a longer word stays whole."""
+    at = 0
+    while len(text) - at > size:
+        end = text.rfind(b" ", at, at + size)
+        if end < 0:
+            end = text.find(b" ", at + size)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def sums_before(df: DataFrame, key: Column, values: dict[str, Column], last: Column | None = None) -> DataFrame:
     """The rows and, by name, the sums of values over all rows that come before in the order of key.
 

@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ampflow.llm import bpe, mixing, pii, quality_classifier, quality_rules, repeats, secrets, simhash, sketch, toxicity
-from ampflow.llm.common import documents, labelled
+from ampflow.llm import (
+    bpe, codes, mixing, pii, quality_classifier, quality_rules, repeats, resample, secrets, simhash, sketch, toxicity,
+)
+from ampflow.llm.common import benchmark, documents, embeddings, labelled
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +25,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": lambda spark, d: toxicity.report(documents(spark, d), labelled(spark, d)),
         "op9_repeats": lambda spark, d: repeats.report(documents(spark, d)),
         "op10_pii": lambda spark, d: pii.report(documents(spark, d)),
+        "op11_vector_codes": lambda spark, d: codes.report(embeddings(spark, d)),
+        "op13_target_resampling": lambda spark, d: resample.report(documents(spark, d), benchmark(spark, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.SQL, "op9_repeats": repeats.SQL}
+    return {
+        "op4_quality_rules": quality_rules.SQL,
+        "op9_repeats": repeats.SQL,
+        "op11_vector_codes": codes.SQL,
+        "op13_target_resampling": resample.SQL,
+    }
