@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ampflow.llm import (
-    bpe, codes, mixing, pii, quality_classifier, quality_rules, repeats, resample, secrets, simhash, sketch, toxicity,
+    bpe, codes, mixing, ngram_join, pii, quality_classifier, quality_rules, repeats, resample, secrets, simhash, sketch, toxicity,
 )
 from ampflow.llm.common import benchmark, documents, embeddings, labelled
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_repeats": lambda spark, d: repeats.report(documents(spark, d)),
         "op10_pii": lambda spark, d: pii.report(documents(spark, d)),
         "op11_vector_codes": lambda spark, d: codes.report(embeddings(spark, d)),
+        "op12_ngram_join": lambda spark, d: ngram_join.report(documents(spark, d)),
         "op13_target_resampling": lambda spark, d: resample.report(documents(spark, d), benchmark(spark, d)),
     }
 
@@ -35,5 +36,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": quality_rules.SQL,
         "op9_repeats": repeats.SQL,
         "op11_vector_codes": codes.SQL,
+        "op12_ngram_join": lambda spark, d: ngram_join.report(documents(spark, d)),
         "op13_target_resampling": resample.SQL,
     }
