@@ -91,7 +91,7 @@ def pieces_of(text: bytes, size: int = PIECE) -> Iterator[bytes]:
     """The text in pieces of about ``size`` bytes that end at a space; a longer word stays whole."""
     at = 0
     while len(text) - at > size:
-        end = text.rfind(b" ", at, at + size)
+        end = text.rfind(b" ", at + 1, at + size)
         if end < 0:
             end = text.find(b" ", at + size)
         if end < 0:

@@ -15,14 +15,14 @@ is never more than the symmetric difference of the sets. Two uses follow, both w
 * Pruning. A folded sketch of 32 bits and more for each shingle of D, compared before any sets are.
 
 Copies are one set from the start, and a task sends a set's keys once. Keys that only one set has (nearly all) end in an
-aggregate of two numbers; the rest meet in buckets. First each bucket's members are verified against its smallest member only, and what
-links is contracted; a bucket whose members are then of one class is done. In the others every two members of
-unlike classes are compared by sketch, in blocks of ``BLOCK`` (a large bucket becomes pairs of blocks, dealt to many tasks): first each
-takes its nearest, links are verified and contracted again, then all that are left. Only pairs that the sketch cannot rule
-out leave a task, and they are verified on the whole sets. So no link between unlike sets is lost, and members that are linked already are not compared.
+aggregate of two numbers; the rest meet in buckets, whose members are compared by sketch in blocks of ``BLOCK`` (a large
+bucket becomes pairs of blocks, dealt to many tasks). First each member takes its nearest in a bucket; what links is contracted. Then
+buckets whose members are of one class are done, and in the others every two members of unlike classes are compared. Only
+pairs that the sketch cannot rule out leave a task, and they are verified on the whole sets. So no link between unlike sets is lost,
+and members that are linked already are not compared.
 
-The sets of members of buckets are cut from the texts again, not stored for all. A bit map of fixed size tells which documents that
-concerns (more than it can tell apart only cost time).
+The sets of pairs to verify are cut from the texts again, not stored for all. A bit map of fixed size tells which documents
+that concerns (more than it can tell apart only cost time).
 
 Shingles are compared as 64-bit hashes. Two sets of one 64-bit name would be found by a second hash, and raise an error.
 
@@ -48,8 +48,8 @@ WORDS = 4
 PERCENT = 85
 SLACK = 3
 BLOCK = 1024
-#: Bits of the map of documents.
-MAP = 1 << 26
+#: Bits of the map of documents, which is broadcast as words of 64 bits.
+MAP = 1 << 24
 
 _U = np.uint64
 #: Upper case to lower case, and all white space to a space.
@@ -181,56 +181,47 @@ def buckets(found: DataFrame) -> DataFrame:
     return durable(kept.where(F.col("nth") >= SLACK).select("key", "sid"))
 
 
-def _slot(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(MAP)).cast("int")
-
-
 def sets_of(docs: DataFrame, found: DataFrame, sids: DataFrame) -> DataFrame:
-    """(sid, n, items): the sets of these names, cut from one document each at least."""
-    wanted = durable(sids.select("sid").distinct())
-    ids = found.select("sid", "doc_id").join(wanted, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    slots = ids.where("doc_id is not null").select(_slot(F.col("doc_id")).alias("slot"))
+    """(sid, items): the sets of these names, cut from the texts of one document each (and of some more)."""
+    ids = found.select("sid", "doc_id").join(sids, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(MAP)).cast("int")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("slot").bitwiseAND(63))
-    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # MAP / 64 rows at most
-    marked = np.zeros(MAP // 64, np.int64)
-    marked[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast(marked)
+    slots = ids.where("doc_id is not null").select(slot.alias("slot"))
+    marked = slots.groupBy(F.shiftright("slot", 6).alias("of")).agg(F.bit_or(bit).alias("bits"))  # MAP / 64 rows at most
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole("text").alias("text")).select("*", slot.alias("slot"))
+    hit = F.col("doc_id").isNull() | (F.col("bits").bitwiseAND(bit) != 0)
+    concerned = texts.join(F.broadcast(marked), F.shiftright("slot", 6) == F.col("of"), "left").where(hit).select("text")
+
+    def out(names: list[int], items: list[np.ndarray]) -> pa.RecordBatch:
+        ends = np.cumsum([0, *map(len, items)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(ends, np.concatenate(items).view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), lists], ["sid", "items"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = batch.column("slot").fill_null(0).to_numpy()
-            hit = (sent.value[slots >> 6] >> (slots & 63)) & 1 > 0
-            hit |= batch.column("slot").is_null().to_numpy(zero_copy_only=False)
-            sids, items, held = [], [], 0
-            for i in np.flatnonzero(hit).tolist():
-                one = shingles(batch.column("text")[i].as_py())
-                sids.append(_name(one, 1))
-                items.append(one)
-                held += len(one)
+            names, items, held = [], [], 0
+            for text in batch.column("text"):
+                items.append(shingles(text.as_py()))
+                names.append(_name(items[-1], 1))
+                held += len(items[-1])
                 if held > _FLUSH:
-                    yield out(sids, items)
-                    sids, items, held = [], [], 0
-            if sids:
-                yield out(sids, items)
+                    yield out(names, items)
+                    names, items, held = [], [], 0
+            if names:
+                yield out(names, items)
 
-    def out(sids: list[int], items: list[np.ndarray]) -> pa.RecordBatch:
-        ends = np.cumsum([0, *map(len, items)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(ends, np.concatenate(items).view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), lists], ["sid", "items"])
-
-    slot = F.when(F.col("doc_id").isNotNull(), _slot(F.col("doc_id").cast("bigint")))
-    texts = docs.select(slot.alias("slot"), whole("text").alias("text"))
-    every = texts.mapInArrow(cut, "sid bigint, items array<bigint>").join(wanted, "sid", "left_semi")
+    every = concerned.mapInArrow(cut, "sid bigint, items array<bigint>").join(sids, "sid", "left_semi")
     return stored(every.dropDuplicates(["sid"]), "ngram-sets")
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that are similar enough."""
+def linked(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets that are similar enough, verified on the whole sets."""
+    sets = sets_of(docs, found, durable(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()))
     side = lambda c: sets.select(F.col("sid").alias(c), F.col("items").alias(f"{c}_items"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("a_items", "b_items"))
     sizes = F.size("a_items") + F.size("b_items")
-    return met.where(100 * common >= PERCENT * (sizes - common)).select("a", "b")
+    return durable(met.where(100 * common >= PERCENT * (sizes - common)).select("a", "b"))
 
 
 def _near(sids, roots, sizes, sketches, left, right, only_nearest: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -301,9 +292,12 @@ def _compared(only_nearest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return compare
 
 
-def _candidates(rows: DataFrame, roots: DataFrame, sketches: DataFrame, only_nearest: bool) -> DataFrame:
+def _candidates(rows: DataFrame, roots: DataFrame | None, sketches: DataFrame, only_nearest: bool) -> DataFrame:
     """(a, b): pairs of members of one bucket that are of unlike classes and that the sketches do not rule out."""
-    classed = rows.join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
+    if roots is None:
+        classed = rows.select("key", "sid", F.col("sid").alias("root"))
+    else:
+        classed = rows.join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
     mixed = classed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).where("x != y")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     placed = classed.join(mixed.select("key", blocks.alias("nb")), "key").join(sketches, "sid")
@@ -334,18 +328,17 @@ def classes(docs: DataFrame) -> DataFrame:
 def _classed(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(node, root): the class of every set that links to another."""
     rows = buckets(found)
-    first = rows.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a != z").select(F.col("key").alias("of"), "a")
-    stars = rows.join(first, F.col("key") == F.col("of")).where("sid != a").select("a", F.col("sid").alias("b")).distinct()
-    sets = sets_of(docs, found, rows)
-    sketches = durable(found.where("sketch is not null").select("sid", "n", "sketch").join(rows.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]))
-    links = durable(linked(stars, sets))
-    roots = components(links)
+    some = found.where("sketch is not null").select("sid", "n", "sketch").join(rows.select("sid").distinct(), "sid", "left_semi")
+    sketches = durable(some.dropDuplicates(["sid"]))
+    links = roots = None
     for only_nearest in (True, False):
-        more = durable(linked(_candidates(rows, roots, sketches, only_nearest), sets))
-        if not more.isEmpty():
-            links = links.union(more)
-            roots = components(links)
-    return roots
+        pairs = durable(_candidates(rows, roots, sketches, only_nearest))
+        if pairs.isEmpty():
+            continue
+        more = linked(docs, found, pairs)
+        links = more if links is None else links.union(more)
+        roots = components(links)
+    return found.sparkSession.createDataFrame([], "node bigint, root bigint") if roots is None else roots
 
 
 def report(docs: DataFrame) -> DataFrame:
