@@ -12,10 +12,10 @@ is never more than the symmetric difference of the sets. Two uses follow, both w
   takes part in its own band and, where it can be the larger partner of one there, in the band below.
 * Fewer keys. At least ``SLACK`` keys of a pair are equal, so a set may leave out its ``SLACK`` - 1 most frequent keys: the rarest
   equal key of the pair stays. Segments without a shingle, or with a single common one, go that way.
-* Pruning. A folded sketch of 32 bits and more for each shingle of D, compared before any sets are.
+* Pruning. A folded sketch of 16 bits and more for each shingle of D, compared before any sets are.
 
-Copies are one set from the start, and a task sends a set's keys once. Keys that only one set has (nearly all) end in an
-aggregate of two numbers; the rest meet in buckets, whose members are compared by sketch in blocks of ``BLOCK`` (a large
+Copies are one set from the start, and a task sends a set's keys once. The keys are the only wide shuffle, of 16 bytes each. Those that
+only one set has (nearly all) go at once; the rest make buckets, whose members are compared by sketch in blocks of ``BLOCK`` (a large
 bucket becomes pairs of blocks, dealt to many tasks). First each member takes its nearest in a bucket; what links is contracted. Then
 buckets whose members are of one class are done, and in the others every two members of unlike classes are compared. Only
 pairs that the sketch cannot rule out leave a task, and they are verified on the whole sets. So no link between unlike sets is lost,
@@ -71,7 +71,7 @@ def _bands() -> list[tuple[int, int, int, int]]:
     while low < 1 << 40:
         high = low * 10_000 // PERCENT**2
         most = apart(high, 100 * high // PERCENT)
-        found.append((low, high, most + SLACK, 1 << max(9, (32 * most - 1).bit_length())))
+        found.append((low, high, most + SLACK, 1 << max(9, (16 * most - 1).bit_length())))
         low = high + 1
     return found
 
@@ -173,8 +173,9 @@ def prints(docs: DataFrame) -> DataFrame:
 def buckets(found: DataFrame) -> DataFrame:
     """(key, sid): the keys by which unlike sets meet, without each set's most frequent ones."""
     rows = found.select(F.explode("keys").alias("key"), "sid")
-    shared = rows.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a != b").select("key")
-    live = durable(rows.join(shared, "key", "left_semi").distinct())
+    met = Window.partitionBy("key")
+    shared = rows.select("key", "sid", (F.min("sid").over(met) != F.max("sid").over(met)).alias("shared")).where("shared")
+    live = durable(shared.select("key", "sid").distinct())
     counts = live.groupBy("key").agg(F.count("*").alias("c"))
     frequent = Window.partitionBy("sid", F.col("key").bitwiseAND(1)).orderBy(F.desc("c"), F.desc("key"))
     kept = live.join(counts, "key").select("key", "sid", F.row_number().over(frequent).alias("nth"))
