@@ -11,7 +11,7 @@ import time
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ampflow.operators import anomaly, eda, features, forest, gps, mapmatch, models, quality, trips
+from ampflow.operators import anomaly, attribution, eda, features, forest, gps, mapmatch, models, quality, trips
 from ampflow.operators.timeseries import DEVICE, TIME, Clock, top_devices
 from ampflow.schema import COLUMNS, Durations, TripRules
 from ampflow.session import session, ship
@@ -97,6 +97,9 @@ def soc_models(
     weights = spark.createDataFrame(models.importances(trained.model), "feature string, importance double")
     sinks.write_csv(weights.coalesce(1).orderBy(F.desc("importance"), "feature"), f"{out}/importances")
 
+    shown = attribution.sample(test, (DEVICE, TIME, messages.INGEST_SEQ))
+    sinks.write_csv(attribution.summary(trained.model, shown).coalesce(1).orderBy(F.desc("mean_abs_shap"), "feature"), f"{out}/shapley_summary")
+
     began = time.monotonic()
     listed = lambda part: features.sequences(features.standardised(train, part), clock=INGESTED)
     model = models.train_sequences(listed(train))

@@ -77,6 +77,15 @@ def with_split(df: DataFrame, share: tuple[int, int] = (4, 5)) -> DataFrame:
     return placed.select(*df.columns, (F.col(TIME) >= cut).cast("int").alias("is_test"))
 
 
+def _role(i: Column, m: Column, f: Column | int, k: int) -> Column:
+    """train, valid or null: what row i of a device's m rows does in fold f of k."""
+    f = F.lit(f) if isinstance(f, int) else f
+    part = lambda j: F.floor((f + j) * m / (k + 1))
+    start = F.greatest(F.least(part(1), m - 2), F.lit(1))
+    end = F.greatest(F.least(part(2), m - 1), start + 1)
+    return F.when(m < 5, None).when(i <= start, "train").when(i <= end, "valid")
+
+
 def folds(df: DataFrame, k: int = 3, clock: Clock = PLAIN) -> DataFrame:
     """(fold, role, and the row): expanding time folds of each device; role is train or valid.
 
@@ -84,14 +93,18 @@ def folds(df: DataFrame, k: int = 3, clock: Clock = PLAIN) -> DataFrame:
     are left out.
     """
     order, device = Window.partitionBy(DEVICE).orderBy(TIME, *clock.tie), Window.partitionBy(DEVICE)
-    rows = df.select("*", F.row_number().over(order).alias("__i"), F.count("*").over(device).alias("__m")).where("__m >= 5")
+    rows = df.select("*", F.row_number().over(order).alias("__i"), F.count("*").over(device).alias("__m"))
     spread = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
-    m, f = F.col("__m"), F.col("fold")
-    part = lambda j: F.floor((f + j) * m / (k + 1))
-    cut = spread.select("*", F.greatest(F.least(part(1), m - 2), F.lit(1)).alias("__from"))
-    both = cut.select("*", F.greatest(F.least(part(2), m - 1), F.col("__from") + 1).alias("__to"))
-    role = F.when(F.col("__i") <= F.col("__from"), "train").when(F.col("__i") <= F.col("__to"), "valid")
-    return both.select("fold", role.alias("role"), *df.columns).where("role is not null")
+    role = _role(F.col("__i"), F.col("__m"), F.col("fold"), k)
+    return spread.select("fold", role.alias("role"), *df.columns).where("role is not null")
+
+
+def with_roles(df: DataFrame, k: int = 3, clock: Clock = PLAIN) -> DataFrame:
+    """Adds roles: for each of k folds 1 where the row trains, 2 where it validates, else 0. The rows stay as many as they are."""
+    order, device = Window.partitionBy(DEVICE).orderBy(TIME, *clock.tie), Window.partitionBy(DEVICE)
+    i, m = F.row_number().over(order), F.count("*").over(device)
+    number = lambda f: F.coalesce(F.when(_role(i, m, f, k) == "train", 1).when(_role(i, m, f, k) == "valid", 2), F.lit(0))
+    return df.select("*", F.array(*[number(f) for f in range(k)]).alias("roles"))
 
 
 def sequences(df: DataFrame, features: tuple[str, ...] = FEATURES, length: int = 10, clock: Clock = PLAIN) -> DataFrame:

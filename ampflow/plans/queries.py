@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampflow.functions.geo import haversine_km
-from ampflow.operators import anomaly, eda, features, forest, gps, mapmatch, models, quality, trips
+from ampflow.operators import anomaly, attribution, eda, features, forest, gps, mapmatch, models, quality, trips
 from ampflow.operators import timeseries as ts
 from ampflow.plans.fixture import DURATIONS, SALT, TRIPS, telemetry
 from ampflow.schema import BATTERY_FIELDS, FEATURES, GPS_FIELDS
@@ -90,18 +90,26 @@ def _forest_confidence(t: DataFrame) -> DataFrame:
 
 def _boosted(t: DataFrame) -> DataFrame:
     """Held-out predictions of boosted trees with fixed settings."""
+    return _held_out(t, {"stepSize": (0.1,), "maxDepth": (4,), "maxIter": (10,)})
+
+
+def _held_out(t: DataFrame, grid: dict[str, tuple]) -> DataFrame:
     rows = features.with_split(_soc(t))
-    trained = models.train_trees(rows.where("is_test = 0"), {"stepSize": (0.1,), "maxDepth": (4,), "maxIter": (10,)})
-    test = models.with_missing(rows.where("is_test = 1"))
-    return trained.model.transform(test).select("device_id", "ts", features.TARGET, "prediction")
+    model = models.train_trees(rows.where("is_test = 0"), grid).model
+    test = rows.where("is_test = 1").select("device_id", "ts", *FEATURES, features.TARGET)
+    return model.transform(test).select("device_id", "ts", features.TARGET, "prediction")
+
+
+def _shapley(t: DataFrame) -> DataFrame:
+    """What each feature adds to the predictions of boosted trees, over 2,000 held-out rows."""
+    rows = features.with_split(_soc(t))
+    model = models.train_trees(rows.where("is_test = 0"), {"stepSize": (0.1,), "maxDepth": (4,), "maxIter": (10,)}).model
+    return attribution.summary(model, attribution.sample(rows.where("is_test = 1"), ("device_id", "ts")))
 
 
 def _boosted_grid(t: DataFrame, grid: dict[str, tuple] = models.GRID) -> DataFrame:
     """Held-out predictions of boosted trees with the best settings of a grid over expanding folds."""
-    rows = features.with_split(_soc(t))
-    trained = models.train_trees(rows.where("is_test = 0"), grid)
-    test = models.with_missing(rows.where("is_test = 1"))
-    return trained.model.transform(test).select("device_id", "ts", features.TARGET, "prediction")
+    return _held_out(t, grid)
 
 
 def _sequence_model(t: DataFrame) -> DataFrame:
@@ -207,6 +215,7 @@ def queries() -> dict[str, Query]:
         "isolation_confidence": _forest_confidence,
         "boosted_trees_predictions": _boosted,
         "boosted_trees_grid_predictions": _boosted_grid,
+        "boosted_trees_shapley": _shapley,
         "sequence_model_predictions": _sequence_model,
     }
     found = {name: _over(f) for name, f in q.items()}
