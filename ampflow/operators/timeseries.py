@@ -6,6 +6,7 @@ second order costs a sort only. Columns that an operator needs for itself start
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -24,13 +25,25 @@ def seconds_between(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / 1e6
 
 
+@dataclass(frozen=True)
+class Reach:
+    """All rows up to a distance from the row, and how the one that stands nearest is picked: a value of theirs as of then."""
+
+    window: WindowSpec
+    pick: Callable[[Column], Column]
+
+    def of(self, value: Column) -> Column:
+        return self.pick(value).over(self.window)
+
+
 @dataclass(frozen=True)
 class Clock:
     """How rows of a device are ordered and how far frames reach.
 
     Without ``tie`` (device, time) is unique and the key is microseconds. With ``tie`` (columns that
-    order rows of equal time, at most 1,024 of them, else an error; times then are whole milliseconds) the key leaves
-    room for a row's number among its equals, so that frames end at the row itself.
+    order rows of equal time, at most 1,024 of them, else an error) the key leaves room for a row's number among its
+    equals. Frames of rows go by the key and end at the row itself; frames of time go by the microseconds alone, which
+    keeps or leaves all rows of a time together, and the key then picks among those.
     """
 
     tie: tuple[str, ...] = ()
@@ -49,31 +62,33 @@ class Clock:
     def window(self) -> WindowSpec:
         return Window.partitionBy(DEVICE).orderBy(KEY)
 
-    def recent(self, width: int) -> WindowSpec:
-        """The rows of (t - width, t] up to the row itself; width in microseconds."""
-        return self.window.rangeBetween(-(width - 500) * TIES if self.tie else 1 - width, 0)
+    @property
+    def us(self) -> Column:
+        """A keyed row's microseconds: its key without the place among its equals."""
+        return F.shiftright(KEY, TIES.bit_length() - 1) if self.tie else F.col(KEY)
 
-    def until(self, back: int) -> WindowSpec:
-        """All rows at or before t - back."""
-        return self.window.rangeBetween(Window.unboundedPreceding, -back * TIES + TIES - 1 if self.tie else -back)
+    def until(self, back: int) -> Reach:
+        """All rows at or before t - back; the last of them is picked."""
+        window = Window.partitionBy(DEVICE).orderBy(self.us).rangeBetween(Window.unboundedPreceding, -back)
+        return Reach(window, (lambda v: F.max_by(v, F.col(KEY))) if self.tie else F.last)
 
-    def after(self, ahead: int) -> WindowSpec:
-        """All rows at or after t + ahead, the nearest last."""
-        backwards = Window.partitionBy(DEVICE).orderBy(F.desc(KEY))
-        return backwards.rangeBetween(Window.unboundedPreceding, -(ahead * TIES - TIES + 1) if self.tie else -ahead)
+    def after(self, ahead: int) -> Reach:
+        """All rows at or after t + ahead; the first of them is picked."""
+        window = Window.partitionBy(DEVICE).orderBy(self.us.desc()).rangeBetween(Window.unboundedPreceding, -ahead)
+        return Reach(window, (lambda v: F.min_by(v, F.col(KEY))) if self.tie else F.last)
 
 
 PLAIN = Clock()
 
 
-def asof(value: str | Column, window: WindowSpec, distance: int, tolerance: int | None = None) -> Column:
-    """The value of the last row of the window, null values included.
+def asof(value: str | Column, reach: Reach, distance: int, tolerance: int | None = None) -> Column:
+    """The value of the row that the reach picks, null values included.
 
-    distance: how far the window stands from the row (microseconds); with a tolerance, a row that is
+    distance: how far the reach stands from the row (microseconds); with a tolerance, a row that is
     more than that beyond it does not count.
     """
     value = F.col(value) if isinstance(value, str) else value
-    found = F.last(F.struct(value.alias("v"), micros().alias("us"))).over(window)
+    found = reach.of(F.struct(value.alias("v"), micros().alias("us")))
     if tolerance is None:
         return found["v"]
     return F.when(F.abs(micros() - found["us"]) <= distance + tolerance, found["v"])
@@ -102,11 +117,17 @@ def with_rolling(keyed: DataFrame, clock: Clock, wanted: list[Rolling]) -> DataF
     Means and deviations come from running sums within blocks of time as long as the widest window, so a window reaches
     over a row's block and the one before: the sums so far, those of the block before, less those as of the window's
     start. The work does not grow with a window's width, and no sum with a device's history. Values are
-    taken relative to the device's first, which keeps the squares small. A maximum has no inverse and slides.
+    taken relative to the device's first, which keeps the squares small. A maximum has no inverse; see ``_with_maximum``.
     """
+    for r in wanted:
+        if r.kind == "max":
+            keyed = _with_maximum(keyed, clock, r)
     linear = [r for r in wanted if r.kind in ("avg", "std")]
-    own = keyed.columns
-    block = max([r.width for r in linear], default=1)
+    names = {r.name for r in wanted}
+    own = [c for c in keyed.columns if c not in names]
+    if not linear:
+        return keyed.select(*own, *[r.name for r in wanted])
+    block = max(r.width for r in linear)
     running = clock.window.rowsBetween(Window.unboundedPreceding, 0)
     inside = Window.partitionBy(DEVICE, "__start").orderBy(KEY).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(DEVICE).orderBy("__start").rangeBetween(Window.unboundedPreceding, -block)
@@ -115,7 +136,6 @@ def with_rolling(keyed: DataFrame, clock: Clock, wanted: list[Rolling]) -> DataF
         (micros() - F.pmod(micros(), F.lit(block))).alias("__start"),
         *[F.first(r.value, ignorenulls=True).over(running).alias(f"__{r.name}_0") for r in linear],
         *[r.value.alias(f"__{r.name}_v") for r in linear],
-        *[_slid(r, clock).alias(r.name) for r in wanted if r.kind == "max"],
     )
 
     def sums(r: Rolling) -> Column:
@@ -130,7 +150,7 @@ def with_rolling(keyed: DataFrame, clock: Clock, wanted: list[Rolling]) -> DataF
     summed = first.select("*", F.struct("__start", *[sums(r).alias(r.name) for r in linear]).alias("__now"))
     prior = summed.select("*", F.max_by("__now", KEY).over(earlier).alias("__prior"))
     widths = sorted({r.width for r in linear})
-    before = prior.select("*", *[F.last("__now").over(clock.until(w)).alias(f"__before_{w}") for w in widths])
+    before = prior.select("*", *[clock.until(w).of(F.col("__now")).alias(f"__before_{w}") for w in widths])
 
     def part(r: Rolling, f: str) -> Column:
         now, past, gone = F.col("__now"), F.col("__prior"), F.col(f"__before_{r.width}")
@@ -151,9 +171,27 @@ def with_rolling(keyed: DataFrame, clock: Clock, wanted: list[Rolling]) -> DataF
     return parts.select(*own, *[(F.col(r.name) if r.kind == "max" else of(r)).alias(r.name) for r in wanted])
 
 
-def _slid(r: Rolling, clock: Clock) -> Column:
-    frame = clock.recent(r.width)
-    return F.when(F.count(r.value).over(frame) >= r.least, F.max(r.value).over(frame))
+def _with_maximum(keyed: DataFrame, clock: Clock, r: Rolling) -> DataFrame:
+    """Adds a rolling maximum over (t - width, t] up to the row itself, in work that does not grow with the width.
+
+    Time falls into blocks as long as the window, so a window is the beginning of the row's block up to the row, and the end
+    of the block before: what follows, in that block, the last row at or before t - width. Running maxima from both ends of the
+    blocks and that row, looked up as of then, give both parts.
+    """
+    own, w = keyed.columns, r.width
+    start = clock.us - F.pmod(clock.us, F.lit(w))
+    rows = keyed.select("*", start.alias("__start"), r.value.alias("__v"))
+    block = Window.partitionBy(DEVICE, "__start")
+    begun = block.orderBy(KEY).rowsBetween(Window.unboundedPreceding, 0)
+    rest = block.orderBy(F.desc(KEY)).rowsBetween(Window.unboundedPreceding, -1)
+    n = F.count("__v").over(clock.window.rowsBetween(Window.unboundedPreceding, 0))
+    ends = rows.select("*", F.struct("__start", n.alias("n"), F.max("__v").over(begun).alias("begun"), F.max("__v").over(rest).alias("rest")).alias("__now"))
+    earlier = Window.partitionBy(DEVICE).orderBy("__start").rangeBetween(Window.unboundedPreceding, -w)
+    met = ends.select("*", F.max_by("__now", KEY).over(earlier).alias("__prior"), clock.until(w).of(F.col("__now")).alias("__gone"))
+    now, past, gone, before = F.col("__now"), F.col("__prior"), F.col("__gone"), F.col("__start") - w
+    end = F.when(gone["__start"] == before, gone["rest"]).when(past["__start"] == before, past["begun"])
+    enough = now["n"] - F.coalesce(gone["n"], F.lit(0)) >= r.least
+    return met.select(*own, F.when(enough, F.greatest(now["begun"], end)).alias(r.name))
 
 
 def with_run(keyed: DataFrame, member: Column, name: str, clock: Clock = PLAIN, add: Column | None = None) -> DataFrame:
