@@ -6,12 +6,13 @@ sets at most D(a, b) = 15 (a + b) / 185 shingles apart, where a and b are their
 Parity sketch: every shingle's hash flips one bit, so bits that two sets share cancel and the Hamming distance of two sketches
 is never more than the symmetric difference of the sets. Two uses follow, both without a loss:
 
-* Pigeonhole join. A size band has one D, that of its largest pair, and cuts the hash space into D + ``SLACK`` segments. A pair in
-  reach differs in D segments at most, so at least ``SLACK`` segments have equal sketches. A segment's sketch is taken over all 2 ** 64
+* Pigeonhole join. A size band has one D, that of its largest pair, and cuts the hash space into D + S segments (S: ``slack``). A pair
+  in reach differs in D segments at most, so at least S segments have equal sketches. A segment's sketch is taken over all 2 ** 64
   bits (what a shingle flips never meets another's) and moves as the XOR of its hashes: one 64-bit key for each segment. A set
   takes part in its own band and, where it can be the larger partner of one there, in the band below.
-* Fewer keys. At least ``SLACK`` keys of a pair are equal, so a set may leave out its ``SLACK`` - 1 most frequent keys: the rarest
-  equal key of the pair stays. Segments without a shingle, or with a single common one, go that way.
+* Fewer keys. At least S keys of a pair are equal, so a set may leave out its S - 1 most frequent keys: the rarest
+  equal key of the pair stays. Segments without a shingle, or with a few common ones, go that way, and with them most sets that have
+  nothing but such keys in common with others.
 * Pruning. A folded sketch of 16 bits and more for each shingle of D, compared before any sets are.
 
 Copies are one set from the start, and a task sends a set's keys once. The keys are the only wide shuffle, of 16 bytes each. Those that
@@ -64,18 +65,24 @@ def apart(a, b):
     return (100 - PERCENT) * (a + b) // (100 + PERCENT)
 
 
-def _bands() -> list[tuple[int, int, int, int]]:
-    """(smallest, largest, segments, bits) of each size band; smaller sets link to equal ones only."""
+def slack(most: int) -> int:
+    """How many equal keys a pair in reach has at least, in a band whose pairs differ in so many shingles at most."""
+    return SLACK + most // 6
+
+
+def _bands() -> list[tuple[int, int, int, int, int]]:
+    """(smallest, largest, segments, bits, slack) of each size band; smaller sets link to equal ones only."""
     low = next(a for a in range(1, 1000) if apart(a, 100 * a // PERCENT))
     found = []
-    while low < 1 << 40:
+    while low < 1 << 36:
         high = low * 10_000 // PERCENT**2
         most = apart(high, 100 * high // PERCENT)
-        found.append((low, high, most + SLACK, 1 << max(9, (16 * most - 1).bit_length())))
+        found.append((low, high, most + slack(most), 1 << max(9, (16 * most - 1).bit_length()), slack(most)))
         low = high + 1
     return found
 
 
+#: Fewer than 128, as the lowest seven bits of a key hold its band.
 BANDS = _bands()
 _LOWS = [b[0] for b in BANDS]
 
@@ -104,7 +111,7 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def keys_of(found: np.ndarray) -> np.ndarray:
-    """The segment keys of a set in the bands it takes part in; the lowest bit tells the two bands apart."""
+    """The segment keys of a set in the bands it takes part in; the lowest bits tell the band."""
     n = len(found)
     own = np.searchsorted(_LOWS, n, side="right") - 1
     summed = np.concatenate([np.zeros(1, _U), np.bitwise_xor.accumulate(found)])
@@ -117,7 +124,7 @@ def keys_of(found: np.ndarray) -> np.ndarray:
         ends = np.searchsorted(place, np.arange(m + 1, dtype=_U))
         salt = np.arange(m, dtype=_U) * _U(0xD6E8FEB86659FD93) + _U(k + 1)
         hashed = _mixed(summed[ends[1:]] ^ summed[ends[:-1]] ^ _mixed(salt))
-        keys.append(hashed & ~_U(1) | _U(k & 1))
+        keys.append(hashed & ~_U(127) | _U(k))
     return np.concatenate(keys) if keys else np.zeros(0, _U)
 
 
@@ -177,9 +184,11 @@ def buckets(found: DataFrame) -> DataFrame:
     shared = rows.select("key", "sid", (F.min("sid").over(met) != F.max("sid").over(met)).alias("shared")).where("shared")
     live = durable(shared.select("key", "sid").distinct())
     counts = live.groupBy("key").agg(F.count("*").alias("c"))
-    frequent = Window.partitionBy("sid", F.col("key").bitwiseAND(1)).orderBy(F.desc("c"), F.desc("key"))
+    band = F.col("key").bitwiseAND(127)
+    frequent = Window.partitionBy("sid", band).orderBy(F.desc("c"), F.desc("key"))
     kept = live.join(counts, "key").select("key", "sid", F.row_number().over(frequent).alias("nth"))
-    return durable(kept.where(F.col("nth") >= SLACK).select("key", "sid"))
+    enough = F.get(F.array(*[F.lit(b[4]) for b in BANDS]), band.cast("int"))
+    return durable(kept.where(F.col("nth") >= enough).select("key", "sid"))
 
 
 def sets_of(docs: DataFrame, found: DataFrame, sids: DataFrame) -> DataFrame:
