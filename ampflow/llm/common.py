@@ -7,9 +7,11 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of characters other than the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,8 +40,43 @@ def whole(text: str | Column = "text") -> Column:
 
 
 def row_hash(df: DataFrame) -> Column:
-    """A hash of a whole row; columns of maps, which Spark doesn't hash, are left out."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
+    """A hash of a whole row; maps, which Spark doesn't hash, count by their sorted entries, inside other columns too."""
+    return F.xxhash64(*[_hashable(F.col(f"`{f.name}`"), f.dataType) for f in df.schema])
+
+
+def _hashable(value: Column, kind: T.DataType) -> Column:
+    if not _holds_map(kind):
+        return value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _hashable(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_hashable(value[f.name], f.dataType).alias(f"f{i}") for i, f in enumerate(kind)]))
+    pair = lambda e: F.struct(e["key"].alias("k"), _hashable(e["value"], kind.valueType).alias("v"))
+    return F.array_sort(F.transform(F.map_entries(value), pair))
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.StructType) and any(_holds_map(f.dataType) for f in kind)
+
+
+def shielded(*needed: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """For operators that return the documents' own columns, in order and before any others.
+
+    While such an operator runs, columns that it doesn't need itself have names that none of its own can be like.
+    """
+
+    def decorate(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(operator)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            own = docs.columns
+            found = operator(docs.toDF(*[c if c in needed else f"own column {i}" for i, c in enumerate(own)]), *args, **kwargs)
+            return found.toDF(*own, *found.columns[len(own) :])
+
+        return run
+
+    return decorate
 
 
 def n_words(text: Column) -> Column:

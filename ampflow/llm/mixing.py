@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampflow.llm.common import durable, let, n_words, row_hash, sums_before, whole
+from ampflow.llm.common import durable, let, n_words, row_hash, shielded, sums_before, whole
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -260,6 +260,7 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
+@shielded("doc_id", "text", "source")
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The documents themselves, each as many times as the mix takes it, with their own columns.
 

@@ -8,7 +8,7 @@ order changes the work and the name of the rejecting rule, never the verdict; so
 
 Defined results: a null text counts as empty (0 words, base_failed true); a null doc_id is
 an ordinary row; repeated rows give repeated results; an empty table gives an empty result;
-other columns, whatever their names, pass through ``judge`` and are dropped by ``report``.
+other columns, whatever their names, pass through ``keep_good`` and are dropped by ``report``; ``judge`` keeps those that don't begin with ``__q_``.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampflow.llm.common import WORD, durable, whole
+from ampflow.llm.common import WORD, durable, shielded, whole
 
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]"
@@ -166,7 +166,7 @@ def judge(docs: DataFrame, order: list[Rule] | None = None) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return judge(docs).select(
+    return judge(docs.select("doc_id", "text")).select(
         "doc_id",
         _c("n_words").alias("n_words"),
         _c("word_chars").alias("word_chars"),
@@ -178,6 +178,7 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
+@shielded("doc_id", "text")
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that no rule rejects, with their own columns.
 

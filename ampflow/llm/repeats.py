@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampflow.llm.common import WHITE, WORD, durable, let, replaced, running, whole
+from ampflow.llm.common import WHITE, WORD, durable, let, replaced, running, shielded, whole
 
 LEAST_WORDS = 8
 SPANS = "array<struct<start:int,end:int>>"
@@ -112,6 +112,7 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
+@shielded("doc_id", "text")
 def remove(docs: DataFrame) -> DataFrame:
     """The documents without their repeated passages, and removed: the spans in the original text."""
     found = removals(docs).select(F.col("doc_id").alias("r_id"), F.col("h").alias("r_h"), "spans").dropDuplicates(["r_h", "r_id"])

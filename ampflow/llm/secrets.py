@@ -32,7 +32,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampflow.llm.common import durable, joined, let, replaced, spans_of, whole
+from ampflow.llm.common import durable, joined, let, replaced, shielded, spans_of, whole
 
 # The base patterns.
 ASSIGN = (
@@ -290,6 +290,7 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
+@shielded("doc_id", "text", "n_chars")
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span replaced by a mark; n_chars, if there, follows the text."""
     clean = F.when(F.size("__s_spans") > 0, replaced(whole("text"), F.col("__s_spans"), lambda n: F.lit(mark))).otherwise(F.col("text"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ampflow.llm.common import durable, row_hash
+from ampflow.llm.common import durable, row_hash, shielded
 from ampflow.llm.components import components
 
 SEED = 42
@@ -169,6 +169,7 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
+@shielded("doc_id", "text")
 def one_of_each(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """One document of each class, with its own columns: that of the smallest doc_id, null last.
 
