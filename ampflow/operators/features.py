@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampflow.operators.quality import cell_imbalance
+from ampflow.operators.quantiles import exact_quantiles
 from ampflow.operators.timeseries import DEVICE, KEY, PLAIN, TIME, Clock, Rolling, asof, with_rolling
 from ampflow.schema import FEATURES, Durations
 
@@ -124,24 +126,24 @@ def with_validation(seqs: DataFrame, percent: int = 15, least: int = 10) -> Data
     n = F.count("*").over(device)
     back = F.row_number().over(device.orderBy(F.desc(TIME)))
     marked = seqs.select("*", ((n >= least) & (back <= F.ceil(n * percent / 100.0))).alias("__tail"))
-    totals = marked.agg(F.count_if("__tail").alias("tails"), F.percentile(F.unix_micros(TIME), 0.9).alias("late"))
-    fallback = (totals.select("tails").scalar() == 0) & (F.unix_micros(TIME) >= totals.select("late").scalar())
+    tails = marked.agg(F.count_if("__tail").alias("tails")).select("tails").scalar()
+    late = exact_quantiles(seqs, {TIME: F.unix_micros(TIME)}, (0.9,))[TIME][0]
+    fallback = (tails == 0) & (F.unix_micros(TIME) >= F.lit(late))
     return marked.select(*seqs.columns, (F.col("__tail") | fallback).cast("int").alias("is_valid"))
 
 
 def standardised(train: DataFrame, rows: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
     """The rows with their features filled by the training medians (all null: 0) and scaled by mean and population deviation."""
     usable = lambda c: F.when(F.abs(c) < float("inf"), F.nanvl(F.col(c), F.lit(None).cast("double")))
-    medians = train.agg(*[F.coalesce(F.percentile(usable(c), 0.5), F.lit(0.0)).alias(c) for c in features])
-
-    def filled(df: DataFrame) -> DataFrame:
-        held = df.select("*", medians.select(F.struct(*features)).scalar().alias("__m"))
-        return held.select(*[F.coalesce(usable(c), F.col("__m")[c]).alias(c) if c in features else F.col(c) for c in df.columns])
-
-    scale = [F.struct(F.avg(c).alias("mean"), F.nullif(F.stddev_pop(c), F.lit(0.0)).alias("dev")).alias(c) for c in features]
-    held = filled(rows).select("*", filled(train).agg(F.struct(*scale).alias("s")).scalar().alias("__s"))
-    scaled = lambda c: (F.col(c) - F.col("__s")[c]["mean"]) / F.coalesce(F.col("__s")[c]["dev"], F.lit(1.0))
-    return held.select(*[scaled(c).alias(c) if c in features else F.col(c) for c in rows.columns])
+    held = train.select(*features).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        medians = {c: found[0] or 0.0 for c, found in exact_quantiles(held, {c: usable(c) for c in features}, (0.5,)).items()}
+        filled = {c: F.coalesce(usable(c), F.lit(medians[c])) for c in features}
+        scale = held.agg(*[f(filled[c]).alias(f"{k}_{c}") for c in features for k, f in (("mean", F.avg), ("dev", F.stddev_pop))]).first()
+    finally:
+        held.unpersist()
+    scaled = lambda c: (filled[c] - F.lit(scale[f"mean_{c}"])) / F.lit(scale[f"dev_{c}"] or 1.0)
+    return rows.select(*[scaled(c).alias(c) if c in features else F.col(c) for c in rows.columns])
 
 
 def regression_metrics(df: DataFrame, actual: str | Column, predicted: str | Column) -> DataFrame:

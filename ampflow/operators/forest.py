@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ampflow.operators.quantiles import exact_quantiles
+
 TREES, SAMPLE, SEED = 200, 256, 42
 
 
@@ -67,8 +69,8 @@ def confidence(df: DataFrame, columns: tuple[str, ...], trees: int = TREES, samp
 
     Nulls of the first column count as 0, those of the others as the column's median.
     """
-    medians = df.agg(*[F.percentile(c, 0.5).alias(c) for c in columns[1:]])
-    fill = lambda c: F.lit(0.0) if c == columns[0] else F.coalesce(medians.select(c).scalar(), F.lit(0.0))
+    medians = exact_quantiles(df, {c: F.col(c) for c in columns[1:]}, (0.5,))
+    fill = lambda c: F.lit(0.0) if c == columns[0] else F.lit(medians[c][0] or 0.0)
     filled = df.select("*", F.array(*[F.coalesce(F.col(c).cast("double"), fill(c)) for c in columns]).alias("__x"))
     chosen = filled.orderBy(F.xxhash64(*columns, *[c for c in ("device_id", "ts") if c in df.columns])).limit(sample * trees)
     pool = np.array([r["__x"] for r in chosen.select("__x").collect()], float)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ampflow.operators.quantiles import exact_quantiles
 from ampflow.operators.timeseries import DEVICE, PLAIN, TIME, Clock, seconds_between, with_gap
 from ampflow.schema import COLUMNS, CRITICAL_COLUMNS, CRITICAL_NULL_PCT, MINUTE, SECOND
 
@@ -82,11 +83,15 @@ def _histogram(values: DataFrame, groups: list[str], bins: int, floor: float) ->
     """Equal bins between the smallest and largest value up to the 99th percentile (or ``floor`` if that is more).
 
     The last bin holds its right edge. Each group's values are aggregated to distinct values first,
-    so the percentile sees a value once, with its count.
+    so the percentile sees a value once, with its count; that of the whole table is searched for in bounded memory.
     """
     counts = values.where("v is not null").groupBy(*groups, "v").agg(F.count("*").alias("n"))
-    limits = counts.groupBy(*groups).agg(F.greatest(F.percentile("v", 0.99, F.col("n")), F.lit(floor)).alias("cap"))
-    inside = _with(counts, limits, groups).where("v <= cap")
+    if groups:
+        limits = counts.groupBy(*groups).agg(F.greatest(F.percentile("v", 0.99, F.col("n")), F.lit(floor)).alias("cap"))
+        inside = _with(counts, limits, groups).where("v <= cap")
+    else:
+        cap = exact_quantiles(values, {"v": F.col("v")}, (0.99,))["v"][0]
+        inside = counts.select("*", F.lit(max(cap or floor, floor)).alias("cap")).where("v <= cap")
     edges = inside.groupBy(*groups).agg(F.min("v").alias("low"), F.max("v").alias("high"))
     binned = _with(inside.drop("cap"), edges, groups)
     width = F.col("high") - F.col("low")
