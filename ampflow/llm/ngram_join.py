@@ -16,7 +16,7 @@ is never more than the symmetric difference of the sets. Two uses follow, both w
 * Pruning. A folded sketch of 16 bits and more for each shingle of D, compared before any sets are.
 
 Copies are one set from the start, and a task sends a set's keys once. The keys are the only wide shuffle, of 16 bytes each. Those that
-only one set has (nearly all) go at once; the rest make buckets, whose members are compared by sketch in blocks of ``BLOCK`` (a large
+only one set has (nearly all) go at once, and of those with the same members (128 bits tell) one stays; the rest make buckets, whose members are compared by sketch in blocks of ``BLOCK`` (a large
 bucket becomes pairs of blocks, dealt to many tasks). First each member takes its nearest in a bucket; what links is contracted. Then
 buckets whose members are of one class are done, and in the others every two members of unlike classes are compared. Only
 pairs that the sketch cannot rule out leave a task, and they are verified on the whole sets. So no link between unlike sets is lost,
@@ -178,7 +178,7 @@ def prints(docs: DataFrame) -> DataFrame:
 
 
 def buckets(found: DataFrame) -> DataFrame:
-    """(key, sid): the keys by which unlike sets meet, without each set's most frequent ones."""
+    """(key, sid): the keys by which unlike sets meet, without each set's most frequent ones; of keys with the same members one."""
     rows = found.select(F.explode("keys").alias("key"), "sid")
     met = Window.partitionBy("key")
     shared = rows.select("key", "sid", (F.min("sid").over(met) != F.max("sid").over(met)).alias("shared")).where("shared")
@@ -188,7 +188,11 @@ def buckets(found: DataFrame) -> DataFrame:
     frequent = Window.partitionBy("sid", band).orderBy(F.desc("c"), F.desc("key"))
     kept = live.join(counts, "key").select("key", "sid", F.row_number().over(frequent).alias("nth"))
     enough = F.get(F.array(*[F.lit(b[4]) for b in BANDS]), band.cast("int"))
-    return durable(kept.where(F.col("nth") >= enough).select("key", "sid"))
+    rare = durable(kept.where(F.col("nth") >= enough).select("key", "sid"))
+    marks = [F.bit_xor(F.xxhash64("sid", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
+    members = rare.groupBy("key").agg(F.count("*").alias("c"), *marks).where("c > 1")
+    unlike = members.groupBy("c", "mark1", "mark2").agg(F.min("key").alias("key")).select("key")
+    return durable(rare.join(unlike, "key", "left_semi"))
 
 
 def sets_of(docs: DataFrame, found: DataFrame, sids: DataFrame) -> DataFrame:
