@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ampflow.operators.features import with_energy
-from ampflow.operators.timeseries import DEVICE, PLAIN, TIME, Clock, Rolling, with_rolling
+from ampflow.operators.timeseries import DEVICE, PLAIN, TIME, Clock, Rolling, gathered, spread, with_rolling
 from ampflow.schema import Durations
 
 NEEDED = (
@@ -16,9 +16,16 @@ NEEDED = (
 SCORED = ("cell_imbalance", "battery_soh_pct", "battery_temp_c", "battery_soc_pct")
 
 
-def prepared(df: DataFrame, durations: Durations = Durations(), clock: Clock = PLAIN) -> DataFrame:
-    """The rows with what the rules compare: discharge and its mean size, the week's best health, the step in charge."""
-    rows = with_energy(clock.keyed(df.select(*NEEDED, *clock.tie, *[c for c in df.columns if c == "confidence"])), durations, clock)
+def prepared(df: DataFrame, durations: Durations = Durations(), clock: Clock = PLAIN, block: int | None = None) -> DataFrame:
+    """The rows with what the rules compare: discharge and its mean size, the week's best health, the step in charge.
+
+    block: microseconds; splits long devices over tasks (``timeseries.spread``).
+    """
+    keyed = clock.keyed(df.select(*NEEDED, *clock.tie, *[c for c in df.columns if c == "confidence"]))
+    if block is not None:
+        # a mean of discharges reaches back over those, and each of them over its lag
+        keyed, clock = spread(keyed, clock, block, max(durations.lag + durations.medium, durations.long))
+    rows = with_energy(keyed, durations, clock)
     rolled = with_rolling(
         rows,
         clock,
@@ -28,7 +35,8 @@ def prepared(df: DataFrame, durations: Durations = Durations(), clock: Clock = P
         ],
     )
     step = F.abs(F.col("battery_soc_pct") - F.lag("battery_soc_pct").over(clock.window))
-    return rolled.select("*", F.coalesce(step, F.lit(0.0)).alias("soc_step"))
+    done = rolled.select("*", F.coalesce(step, F.lit(0.0)).alias("soc_step"))
+    return gathered(done) if clock.split else done
 
 
 def discharge_spike() -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ampflow.operators.quality import cell_imbalance
 from ampflow.operators.quantiles import exact_quantiles
-from ampflow.operators.timeseries import DEVICE, KEY, PLAIN, TIME, Clock, Rolling, asof, with_rolling
+from ampflow.operators.timeseries import DEVICE, OWN, PART, PLAIN, TIME, Clock, Rolling, asof, gathered, spread, with_rolling
 from ampflow.schema import FEATURES, Durations
 
 REQUIRED = (
@@ -44,10 +44,18 @@ def rolling_columns(durations: Durations = Durations()) -> list[Rolling]:
     ]
 
 
-def soc_dataset(df: DataFrame, durations: Durations = Durations(), clock: Clock = PLAIN, tolerance: int | None = None) -> DataFrame:
-    """(device, ts, features, target, and what orders ties): one row for each ping with a target."""
+def soc_dataset(
+    df: DataFrame, durations: Durations = Durations(), clock: Clock = PLAIN, tolerance: int | None = None, block: int | None = None
+) -> DataFrame:
+    """(device, ts, features, target, and what orders ties): one row for each ping with a target.
+
+    block: microseconds; splits long devices over tasks (``timeseries.spread``).
+    """
     require(df)
-    rows = with_energy(clock.keyed(df.select(*dict.fromkeys([*REQUIRED, *clock.tie]))), durations, clock, tolerance)
+    keyed = clock.keyed(df.select(*dict.fromkeys([*REQUIRED, *clock.tie])))
+    if block is not None:
+        keyed, clock = spread(keyed, clock, block, max(durations.lag, durations.short, durations.medium, durations.long), durations.horizon)
+    rows = with_energy(keyed, durations, clock, tolerance)
     rolled = with_rolling(rows, clock, rolling_columns(durations))
     ahead = asof("battery_soc_pct", clock.after(durations.horizon), durations.horizon, tolerance)
     c = F.col
@@ -65,7 +73,9 @@ def soc_dataset(df: DataFrame, durations: Durations = Durations(), clock: Clock
         F.when(F.coalesce("gps_speed_kmh", F.lit(0.0)) <= 0, c("discharge_rate_wh")).otherwise(0.0).alias("idle_drain"),
         ahead.alias(TARGET),
         *clock.tie,
+        *([PART, OWN] if clock.split else []),
     )
+    built = gathered(built) if clock.split else built
     return built.where(c(TARGET).isNotNull()).select(DEVICE, TIME, *FEATURES, TARGET, *clock.tie)
 
 

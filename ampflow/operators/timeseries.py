@@ -7,13 +7,15 @@ second order costs a sort only. Columns that an operator needs for itself start
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 DEVICE, TIME = "device_id", "ts"
 KEY = "__key"
+#: Of rows that are split over tasks: the beginning of the row's block, and whether the row is the block's own.
+PART, OWN = "__part", "__own"
 TIES = 1024
 
 
@@ -47,6 +49,12 @@ class Clock:
     """
 
     tie: tuple[str, ...] = ()
+    #: Whether the rows are split into blocks of time (``spread``), each of which is a window partition.
+    split: bool = False
+
+    @property
+    def by(self) -> list[str]:
+        return [DEVICE, PART] if self.split else [DEVICE]
 
     def keyed(self, df: DataFrame) -> DataFrame:
         """The rows with a device and a time, and their key."""
@@ -60,7 +68,7 @@ class Clock:
 
     @property
     def window(self) -> WindowSpec:
-        return Window.partitionBy(DEVICE).orderBy(KEY)
+        return Window.partitionBy(*self.by).orderBy(KEY)
 
     @property
     def us(self) -> Column:
@@ -69,18 +77,62 @@ class Clock:
 
     def until(self, back: int) -> Reach:
         """All rows at or before t - back; the last of them is picked."""
-        window = Window.partitionBy(DEVICE).orderBy(self.us).rangeBetween(Window.unboundedPreceding, -back)
+        window = Window.partitionBy(*self.by).orderBy(self.us).rangeBetween(Window.unboundedPreceding, -back)
         return Reach(window, (lambda v: F.max_by(v, F.col(KEY))) if self.tie else F.last)
 
     def after(self, ahead: int) -> Reach:
         """All rows at or after t + ahead; the first of them is picked."""
-        window = Window.partitionBy(DEVICE).orderBy(self.us.desc()).rangeBetween(Window.unboundedPreceding, -ahead)
+        window = Window.partitionBy(*self.by).orderBy(self.us.desc()).rangeBetween(Window.unboundedPreceding, -ahead)
         return Reach(window, (lambda v: F.min_by(v, F.col(KEY))) if self.tie else F.last)
 
 
 PLAIN = Clock()
 
 
+def spread(keyed: DataFrame, clock: Clock, block: int, back: int, ahead: int = 0) -> tuple[DataFrame, Clock]:
+    """The keyed rows split into blocks of time, and the clock whose windows take a block each.
+
+    A device's rows then are as many window partitions as it has blocks, however long its history is. For what reaches
+    ``back`` or ``ahead`` (microseconds, a block at most), a block also gets its neighbours' rows that near, and beyond them the one
+    row that stands next, so that it holds an unbroken piece of the history: previous rows, rolling values within
+    ``back`` and as-of lookups come out as over the whole device (what such values are computed from in turn adds to ``back``). The next rows come from summaries, a
+    row for each block. Only rows with OWN count afterwards (``gathered``).
+    """
+    if block < max(back, ahead):
+        raise ValueError("a block has to be as long as what reaches over its ends")
+    own = keyed.columns
+    start = clock.us - F.pmod(clock.us, F.lit(block))
+    placed = keyed.select("*", start.alias(PART))
+    p, us = F.col(PART), clock.us
+    late, early = us >= p + (block - back), us < p + ahead
+    shown = lambda part, mine: F.struct(part.alias(PART), F.lit(mine).alias(OWN))
+    places = [shown(p, True), F.when(late, shown(p + block, False))]
+    if ahead:
+        places.append(F.when(early, shown(p - block, False)))
+    near = placed.select(*own, F.explode(F.filter(F.array(*places), lambda x: x.isNotNull())).alias("__at")).select(*own, f"__at.{PART}", f"__at.{OWN}")
+
+    whole, key = F.struct(*own), F.col(KEY)
+    ends = placed.groupBy(DEVICE, PART).agg(
+        F.max_by(whole, key).alias("last"),
+        F.max_by(whole, F.when(~late, key)).alias("before"),
+        F.min_by(whole, key).alias("first"),
+        F.min_by(whole, F.when(~early, key)).alias("beyond"),
+    )
+    blocks = Window.partitionBy(DEVICE).orderBy(PART)
+    prior = F.when(F.lag(PART).over(blocks) == p - block, F.coalesce(F.lag("before").over(blocks), F.lag("last", 2).over(blocks)))
+    nexts = [prior.otherwise(F.lag("last").over(blocks))]
+    if ahead:
+        then = F.when(F.lead(PART).over(blocks) == p + block, F.coalesce(F.lead("beyond").over(blocks), F.lead("first", 2).over(blocks)))
+        nexts.append(then.otherwise(F.lead("first").over(blocks)))
+    carried = ends.select(PART, F.array(*nexts).alias("__rows")).select(PART, F.explode("__rows").alias("__row")).where("__row is not null")
+    return near.unionByName(carried.select("__row.*", PART, F.lit(False).alias(OWN))), replace(clock, split=True)
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """The rows of all blocks once, without what marks the blocks."""
+    return rows.where(OWN).drop(PART, OWN)
+
+
 def asof(value: str | Column, reach: Reach, distance: int, tolerance: int | None = None) -> Column:
     """The value of the row that the reach picks, null values included.
 
@@ -94,10 +146,13 @@ def asof(value: str | Column, reach: Reach, distance: int, tolerance: int | None
     return F.when(F.abs(micros() - found["us"]) <= distance + tolerance, found["v"])
 
 
-def with_gap(df: DataFrame, clock: Clock = PLAIN) -> DataFrame:
-    """Adds gap_sec, the seconds since the device's previous row."""
+def with_gap(df: DataFrame, clock: Clock = PLAIN, block: int | None = None) -> DataFrame:
+    """Adds gap_sec, the seconds since the device's previous row. block: microseconds; splits long devices over tasks."""
     rows = clock.keyed(df)
-    return rows.withColumn("gap_sec", seconds_between(F.col(TIME), F.lag(TIME).over(clock.window))).drop(KEY)
+    if block is not None:
+        rows, clock = spread(rows, clock, block, 0)
+    found = rows.withColumn("gap_sec", seconds_between(F.col(TIME), F.lag(TIME).over(clock.window))).drop(KEY)
+    return gathered(found) if clock.split else found
 
 
 @dataclass(frozen=True)
@@ -129,8 +184,8 @@ def with_rolling(keyed: DataFrame, clock: Clock, wanted: list[Rolling]) -> DataF
         return keyed.select(*own, *[r.name for r in wanted])
     block = max(r.width for r in linear)
     running = clock.window.rowsBetween(Window.unboundedPreceding, 0)
-    inside = Window.partitionBy(DEVICE, "__start").orderBy(KEY).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(DEVICE).orderBy("__start").rangeBetween(Window.unboundedPreceding, -block)
+    inside = Window.partitionBy(*clock.by, "__start").orderBy(KEY).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*clock.by).orderBy("__start").rangeBetween(Window.unboundedPreceding, -block)
     first = keyed.select(
         "*",
         (micros() - F.pmod(micros(), F.lit(block))).alias("__start"),
@@ -181,12 +236,12 @@ def _with_maximum(keyed: DataFrame, clock: Clock, r: Rolling) -> DataFrame:
     own, w = keyed.columns, r.width
     start = clock.us - F.pmod(clock.us, F.lit(w))
     rows = keyed.select("*", start.alias("__start"), r.value.alias("__v"))
-    block = Window.partitionBy(DEVICE, "__start")
+    block = Window.partitionBy(*clock.by, "__start")
     begun = block.orderBy(KEY).rowsBetween(Window.unboundedPreceding, 0)
     rest = block.orderBy(F.desc(KEY)).rowsBetween(Window.unboundedPreceding, -1)
     n = F.count("__v").over(clock.window.rowsBetween(Window.unboundedPreceding, 0))
     ends = rows.select("*", F.struct("__start", n.alias("n"), F.max("__v").over(begun).alias("begun"), F.max("__v").over(rest).alias("rest")).alias("__now"))
-    earlier = Window.partitionBy(DEVICE).orderBy("__start").rangeBetween(Window.unboundedPreceding, -w)
+    earlier = Window.partitionBy(*clock.by).orderBy("__start").rangeBetween(Window.unboundedPreceding, -w)
     met = ends.select("*", F.max_by("__now", KEY).over(earlier).alias("__prior"), clock.until(w).of(F.col("__now")).alias("__gone"))
     now, past, gone, before = F.col("__now"), F.col("__prior"), F.col("__gone"), F.col("__start") - w
     end = F.when(gone["__start"] == before, gone["rest"]).when(past["__start"] == before, past["begun"])
