@@ -11,7 +11,7 @@ import time
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ampflow.operators import anomaly, attribution, eda, features, forest, gps, mapmatch, models, quality, trips
+from ampflow.operators import anomaly, attribution, eda, features, forest, gps, mapmatch, models, quality, recurrent, trips
 from ampflow.operators.timeseries import DEVICE, TIME, Clock, top_devices
 from ampflow.schema import COLUMNS, Durations, TripRules
 from ampflow.session import session, ship
@@ -79,7 +79,11 @@ def quality_report(telemetry: DataFrame, out: str, durations: Durations = Durati
 
 
 def soc_models(
-    telemetry: DataFrame, out: str, grid: dict[str, tuple] = models.GRID, durations: Durations = Durations()
+    telemetry: DataFrame,
+    out: str,
+    grid: dict[str, tuple] = models.GRID,
+    durations: Durations = Durations(),
+    settings: recurrent.Settings = recurrent.Settings(),
 ) -> DataFrame:
     """Features, both models with their metrics, and anomaly flags; returns the comparison of the models."""
     spark = telemetry.sparkSession
@@ -102,10 +106,10 @@ def soc_models(
 
     began = time.monotonic()
     listed = lambda part: features.sequences(features.standardised(train, part), clock=INGESTED)
-    model = models.train_sequences(listed(train))
+    model = recurrent.train(features.with_validation(listed(train)), features.TARGET, settings)
     taken = time.monotonic() - began
-    models.save(model, f"{out}/models/sequences")
-    sequence = models.evaluate(model, models.flattened(listed(test))) | {"training_sec": taken}
+    model.save(spark, f"{out}/models/sequences")
+    sequence = models.evaluate(model, listed(test)) | {"training_sec": taken, "epochs": len(model.errors)}
     sinks.write_text(spark, models.metrics_json(sequence), f"{out}/sequence_metrics")
     compared = models.comparison(spark, tree, sequence)
     sinks.write_csv(compared.coalesce(1), f"{out}/model_comparison")
