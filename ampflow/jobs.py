@@ -71,7 +71,7 @@ def quality_report(telemetry: DataFrame, out: str, durations: Durations = Durati
             "soh_delta": eda.soh_delta(rows),
             "soh_series": eda.soh_series(rows),
             "hotspots": eda.hotspots(rows),
-            "heat_map": eda.located(rows).select("gps_lat", "gps_lon"),
+            "heat_map": eda.heat_tiles(rows),
             "state_time_share": eda.state_time_share(segments),
         },
         f"{out}/charts",

@@ -74,6 +74,21 @@ def hotspots(df: DataFrame, k: int = 3) -> DataFrame:
     return cells.orderBy(F.desc("n"), "lat_r", "lon_r").limit(k)
 
 
+def heat_tiles(df: DataFrame, levels: int = 5) -> DataFrame:
+    """(level, size, south, west, n): a pyramid of tiles over all located rows, for a heat map at any zoom.
+
+    Level 0 has tiles of a hundredth of a degree; each further level has tiles ten times as wide. The rows are counted once, at level 0; the
+    others add those counts up. So the result is bounded by the tiles, whatever the number of rows.
+    """
+    inside = located(df).where("gps_lat BETWEEN -90 AND 90 AND gps_lon BETWEEN -180 AND 180")
+    cell = lambda c: F.floor(F.col(c) * 100).alias(c)
+    finest = inside.groupBy(cell("gps_lat"), cell("gps_lon")).agg(F.count("*").alias("n"))
+    tiles = [F.struct(F.lit(k).alias("level"), *[F.floor(F.col(c) / 10**k).alias(c[-3:]) for c in ("gps_lat", "gps_lon")]) for k in range(levels)]
+    counted = finest.select(F.explode(F.array(*tiles)).alias("t"), "n").groupBy("t.level", "t.lat", "t.lon").agg(F.sum("n").alias("n"))
+    size = F.pow(F.lit(10.0), F.col("level") - 2)
+    return counted.select("level", size.alias("size"), (F.col("lat") * size).alias("south"), (F.col("lon") * size).alias("west"), "n")
+
+
 def map_center(df: DataFrame, k: int = 2) -> DataFrame:
     """The centres of the heat map (means) and of the map of the busiest devices (medians), with the default place.
 

@@ -338,6 +338,13 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT round(gps_lat, 2) AS lat_r, round(gps_lon, 2) AS lon_r, count(*) AS n FROM t WHERE {located} AND gps_lat <> 0 AND gps_lon <> 0"
             " GROUP BY ALL ORDER BY n DESC, lat_r, lon_r LIMIT 3"
         ),
+        "heat_tiles": _t(
+            f"c AS (SELECT floor(gps_lat * 100)::BIGINT AS a, floor(gps_lon * 100)::BIGINT AS b FROM t WHERE {located} AND gps_lat <> 0 AND gps_lon <> 0"
+            "       AND gps_lat BETWEEN -90 AND 90 AND gps_lon BETWEEN -180 AND 180),"
+            " l AS (SELECT k::INTEGER AS level, (10 ** k)::BIGINT AS w, 10.0::DOUBLE ** (k - 2) AS size FROM range(5) r(k))"
+            " SELECT level, round(size, 6) AS size, round(floor(a / w) * size, 6) AS south, round(floor(b / w) * size, 6) AS west, count(*) AS n"
+            " FROM c, l GROUP BY level, size, floor(a / w), floor(b / w)"
+        ),
         "map_center": _t(
             f"top AS (SELECT device_id FROM t WHERE {located} GROUP BY device_id ORDER BY count(*) DESC, device_id LIMIT 2),"
             f" heat AS (SELECT avg(gps_lat) AS a, avg(gps_lon) AS b FROM t WHERE {located} AND gps_lat <> 0 AND gps_lon <> 0),"

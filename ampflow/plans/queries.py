@@ -164,6 +164,7 @@ def queries() -> dict[str, Query]:
         "soh_delta": eda.soh_delta,
         "soh_series": eda.soh_series,
         "gps_hotspots": eda.hotspots,
+        "heat_tiles": eda.heat_tiles,
         "map_center": eda.map_center,
         "map_bounds": eda.map_bounds,
         "top_devices": lambda t: ts.top_devices(t, 5),
