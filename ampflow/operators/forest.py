@@ -1,7 +1,8 @@
 """Isolation forest: an anomaly score from how early random splits isolate a row.
 
-Trees grow on the driver from ``SAMPLE`` rows each, drawn from a bounded pool: the ``TREES * SAMPLE`` rows with the lowest
-hashes, so that each tree could have rows of its own. Scoring is an expression-free Arrow pass over all rows.
+Every tree has a sample of its own: the ``SAMPLE`` rows with the lowest hashes of row and tree. A threshold on the hash lets
+about twice as many through where the rows are, so one aggregation by tree finds all samples, and the trees grow in its tasks;
+the driver gets trees only. Scoring is an expression-free Arrow pass over all rows.
 """
 
 from __future__ import annotations
@@ -72,14 +73,12 @@ def confidence(df: DataFrame, columns: tuple[str, ...], trees: int = TREES, samp
     medians = exact_quantiles(df, {c: F.col(c) for c in columns[1:]}, (0.5,))
     fill = lambda c: F.lit(0.0) if c == columns[0] else F.lit(medians[c][0] or 0.0)
     filled = df.select("*", F.array(*[F.coalesce(F.col(c).cast("double"), fill(c)) for c in columns]).alias("__x"))
-    chosen = filled.orderBy(F.xxhash64(*columns, *[c for c in ("device_id", "ts") if c in df.columns])).limit(sample * trees)
-    pool = np.array([r["__x"] for r in chosen.select("__x").collect()], float)
-    if not len(pool):
+    keys = [c for c in ("device_id", "ts") if c in df.columns]
+    drawn = samples(filled.select("__x", F.xxhash64("__x", *keys).alias("__h")), trees, sample)
+    grown = sorted(drawn.rdd.map(lambda r: (r["tree"], len(r["rows"]), _grown(r["tree"], r["rows"]))).collect(), key=lambda g: g[0])
+    if not grown:
         return df.withColumn("confidence", F.lit(0.0))
-    random = np.random.default_rng(SEED)
-    size = min(sample, len(pool))
-    limit = max(1, math.ceil(math.log2(max(2, size))))
-    forest = [grow(pool[random.choice(len(pool), size, replace=False)], random, limit) for _ in range(trees)]
+    size, forest = max(g[1] for g in grown), [g[2] for g in grown]
     shared = df.sparkSession.sparkContext.broadcast(forest)
     unit = expected_path(size) or 1.0
 
@@ -93,5 +92,22 @@ def confidence(df: DataFrame, columns: tuple[str, ...], trees: int = TREES, samp
     return scored.select(*df.columns, _stretched(F.col("__score"), low, high).alias("confidence"))
 
 
+def samples(rows: DataFrame, trees: int, sample: int) -> DataFrame:
+    """(tree, rows): of each tree the __x of the rows with the lowest hashes of __h and the tree; rows of one __h count once."""
+    n = rows.count()
+    share = min(1.0, 2 * sample / max(1, n))
+    below = F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))
+    every = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64("__h", t).alias("u")))
+    low = rows.select("__x", F.explode(F.filter(every, lambda e: e["u"] <= below)).alias("e")).select("e.tree", "e.u", "__x")
+    once = low.groupBy("tree", "u").agg(F.first("__x").alias("x"))
+    lowest = F.slice(F.sort_array(F.collect_list(F.struct("u", "x"))), 1, sample)
+    return once.groupBy("tree").agg(lowest.alias("found")).select("tree", F.transform("found", lambda f: f["x"]).alias("rows"))
+
+
+def _grown(tree: int, rows: list[list[float]]) -> np.ndarray:
+    limit = max(1, math.ceil(math.log2(max(2, len(rows)))))
+    return grow(np.array(rows, float), np.random.default_rng((SEED, tree)), limit)
+
+
 def _stretched(score: Column, low: Column, high: Column) -> Column:
     return F.when(high - low < 1e-9, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (score - low) / (high - low))))
