@@ -328,4 +328,4 @@ def test_the_last_stage_holds_the_token_ids(odd):
 
 
 def test_names_of_the_queries():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{n}" for n in range(1, 14)]
