@@ -359,3 +359,28 @@ def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     kind = docs.schema["doc_id"].dataType
     return classes(docs).select(F.col("doc_id").cast(kind), F.col("n").alias("n_shingles"), F.col("component_id").cast(kind))
+
+
+SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                              ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) AS shingle
+  FROM d
+), n AS MATERIALIZED (
+  SELECT rid, count(*) AS n FROM s GROUP BY rid
+), links AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.rid AS a, y.rid AS b, count(*) AS i FROM s x JOIN s y ON x.shingle = y.shingle AND x.rid <> y.rid GROUP BY ALL)
+  JOIN n na ON a = na.rid JOIN n nb ON b = nb.rid WHERE 100 * i >= 85 * (na.n + nb.n - i)
+), reach(a, b) AS (
+  SELECT rid, rid FROM d
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), first_ AS (
+  SELECT a, min(doc_id) AS component_id FROM reach JOIN d ON reach.b = d.rid GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d JOIN first_ ON d.rid = first_.a LEFT JOIN n USING (rid)
+"""

@@ -36,6 +36,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": quality_rules.SQL,
         "op9_repeats": repeats.SQL,
         "op11_vector_codes": codes.SQL,
-        "op12_ngram_join": lambda spark, d: ngram_join.report(documents(spark, d)),
+        "op12_ngram_join": ngram_join.SQL,
         "op13_target_resampling": resample.SQL,
     }

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 from ampflow.llm import ngram_join as ng
-from tests.llm.test_text import SCHEMA, odd_rows
+from tests.compare import same
+from tests.llm.test_text import FOLDER, SCHEMA, odd_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -104,3 +105,7 @@ def test_a_text_in_pieces_has_the_same_set(monkeypatch):
     monkeypatch.setattr(ng, "pieces_of", lambda b: pieces(b, 23))
     assert ng.shingles(text).tolist() == whole.tolist()
     assert len(whole) == len(slow_set(text))
+
+
+def test_classes_as_sql(spark):
+    same(ng.report(spark.read.parquet(f"{FOLDER}/documents.parquet")), ng.SQL, FOLDER)
