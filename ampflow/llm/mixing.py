@@ -1,21 +1,22 @@
 """Mixing sources to target weights by pivotal dependent rounding (built-in expressions only).
 
 A source with words S and target T wants T / S copies of each of its documents: a whole number,
-and a fraction that pivotal rounding makes whole. Two fractional documents meet; mass moves
-from one to the other, at random but with unchanged expectation, until one of them is whole.
-What is still fractional meets again. What moves is counted in words, so a source is off its target by
-the rounding of its one last residual, and a bounded block of its documents makes that good.
-
-The reduction tree has two kinds of steps. Inside a block (about ``BLOCK`` documents, ordered by size so
-that neighbours weigh about the same) ten rounds of pairing run on arrays. A block leaves one
-fractional document at most; those residuals form blocks of the next level, and so on until a
-source has one residual left, which a final draw rounds. Blocks are numbered by a hash of the document,
-so a source of any share of the rows spreads over as many tasks as it has blocks. Equal rows are one unit
-with a number, which want so many times the copies; they meet before anything is dealt by that hash.
-All draws are hashes of the documents, so reruns agree.
+and a fraction that pivotal rounding makes whole. Two documents meet; mass moves from one to the
+other, at random but with unchanged expectation, until one of them is whole. The other meets the next.
+What moves is counted in words, so a source is off its target by the rounding of its one last residual.
+
+Of two that meet, the larger moves between the whole numbers next to it and the smaller takes what that leaves, within
+0 and ``most`` copies. So the residual goes on to ever smaller documents, and the last one is small.
+
+The reduction tree has a width of about ``BLOCK``: a block of so many documents goes from its largest to its smallest
+and leaves one residual; those residuals form blocks of the next level, and so on until a
+source has one residual left, which becomes the nearest whole number (the one step that can change an expectation).
+Blocks are numbered by a hash of the document, so a source of any share of the rows spreads over as many tasks as it
+has blocks. Equal rows are one unit with a number, which want so many times the copies; they meet before anything is
+dealt by that hash. All draws are hashes of the documents, so reruns agree.
 
 Defined results: a null text has size 0; a null source is a source of its own, last; documents
-of size 0 take 0 words; equal rows share their copies out, none gets two more than another;
+of size 0 take 0 words, and their number is drawn alone; equal rows share their copies out, none gets two more than another;
 an empty table gives an empty result.
 """
 
@@ -29,9 +30,6 @@ from ampflow.llm.common import durable, let, n_words, row_hash, shielded, sums_b
 WEIGHTS = (1, 2, 3)
 MOST = 3
 BLOCK = 256
-ROUNDS = 10
-#: Of a target, how far the plain way of settling may stay off it; else so many documents are tried by force.
-NEAR, TRIED = 0.002, 12
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -75,60 +73,58 @@ def _uniform(*keys: Column) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(1 << 52)) / float(1 << 52)
 
 
-def _duel(a: Column, b: Column, turn: Column) -> Column:
+_UNIT = "struct<size:bigint,h:bigint,doc_id:bigint,n:bigint,copies:double>"
+
+
+def _unit(x: Column, number: Column) -> Column:
+    return F.struct(*[x[c].alias(c) for c in ("size", "h", "doc_id", "n")], number.cast("double").alias("copies"))
+
+
+def _duel(a: Column, b: Column, most: int, turn: int) -> Column:
     """struct<left,done>: one of two units becomes whole (done), the other keeps the rest (left).
 
-    What moves is words, so the words that both are expected to give stay as they were; each of the
-    two directions ends where a unit reaches 0 or 1, and its probability is the other's length.
+    b is not larger than a. What moves is words, so the words that both are expected to give stay as they were. a moves
+    to the whole numbers next to it, b anywhere within its limits, 0 and ``most`` copies of each of its documents; each
+    direction ends where a is whole or b is at a limit, and its probability is the other's length. So
+    the rest goes to the smaller unit unless that one is at its limit first.
     """
-    mass = lambda x: F.greatest(x["size"], F.lit(1)).cast("double")
-    to_a = F.least((1 - a["p"]) * mass(a), b["p"] * mass(b))
-    to_b = F.least(a["p"] * mass(a), (1 - b["p"]) * mass(b))
-    up = _uniform(a["h"], b["h"], turn) * (to_a + to_b) < to_b
-
-    def unit(x: Column, p: Column) -> Column:
-        bounded = F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
-        return F.struct(*[x[c].alias(c) for c in ("size", "h", "doc_id", "n", "whole", "settles")], bounded.alias("p"))
-
-    def out(left: Column, p: Column, done: Column, final: float) -> Column:
-        return F.struct(unit(left, p).alias("left"), unit(done, F.lit(final)).alias("done"))
-
-    met = (
-        F.when(up & ((1 - a["p"]) * mass(a) <= b["p"] * mass(b)), out(b, b["p"] - to_a / mass(b), a, 1.0))
-        .when(up, out(a, a["p"] + to_a / mass(a), b, 0.0))
-        .when(a["p"] * mass(a) <= (1 - b["p"]) * mass(b), out(b, b["p"] + to_b / mass(b), a, 0.0))
-        .otherwise(out(a, a["p"] - to_b / mass(a), b, 1.0))
+    low, room = F.floor(a["copies"]), F.lit(float(most)) * b["n"]
+    down, up = (a["copies"] - low) * a["size"], (1 - (a["copies"] - low)) * a["size"]
+    rise, fall = (room - b["copies"]) * b["size"], b["copies"] * b["size"]
+    to_b, to_a = F.least(down, rise), F.least(up, fall)
+    ups = _uniform(a["h"], b["h"], F.lit(turn)) * (to_a + to_b) < to_b
+    within = lambda x: F.greatest(F.lit(0.0), F.least(room, x))
+
+    def out(left: Column, number: Column, done: Column, final: Column) -> Column:
+        return F.struct(_unit(left, number).alias("left"), _unit(done, final).alias("done"))
+
+    return (
+        F.when(down == 0, out(b, b["copies"], a, low))
+        .when(ups & (up <= fall), out(b, within(b["copies"] - up / b["size"]), a, low + 1))
+        .when(ups, out(a, a["copies"] + fall / a["size"], b, F.lit(0.0)))
+        .when(down <= rise, out(b, within(b["copies"] + down / b["size"]), a, low))
+        .otherwise(out(a, a["copies"] - rise / a["size"], b, room))
     )
-    return F.when(b.isNull(), F.struct(a.alias("left"), F.lit(None).cast(_UNIT).alias("done"))).otherwise(met)
 
 
-_UNIT = "struct<size:bigint,h:bigint,doc_id:bigint,n:bigint,whole:double,settles:boolean,p:double>"
+def _level(units: DataFrame, level: int, most: int) -> DataFrame:
+    """(source, block, unit, done): units (source, block, unit) once their blocks were gone through, one of each still open."""
+    blocks = units.groupBy("source", "block").agg(F.sort_array(F.collect_list("unit"), asc=False).alias("units"))
+    begin = F.struct(F.get("units", F.lit(0)).alias("left"), F.array().cast(f"array<{_UNIT}>").alias("done"))
 
-
-def _level(units: DataFrame, level: int) -> DataFrame:
-    """Units (source, block, unit) after all rounds within their blocks: (source, block, unit, done)."""
-    blocks = units.groupBy("source", "block").agg(F.sort_array(F.collect_list("unit")).alias("units"))
-    first = F.transform("units", lambda u: F.struct(u.alias("left"), F.lit(None).cast(_UNIT).alias("done")))
-    finished = lambda met: F.filter(F.transform(met, lambda x: x["done"]), lambda x: x.isNotNull())
-
-    def meet(acc: Column, turn: Column) -> Column:
-        left = lambda j: F.get(acc["met"], j)["left"]
-        pairs = F.sequence(F.lit(0), F.ceil(F.size(acc["met"]) / 2).cast("int") - 1)
-        return F.struct(
-            F.transform(pairs, lambda j: _duel(left(2 * j), left(2 * j + 1), turn)).alias("met"),
-            F.concat(acc["done"], finished(acc["met"])).alias("done"),
+    def meet(acc: Column, x: Column) -> Column:
+        return let(
+            _duel(acc["left"], x, most, level),
+            lambda met: F.struct(met["left"].alias("left"), F.concat(acc["done"], F.array(met["done"])).alias("done")),
         )
 
     tagged = F.aggregate(
-        F.sequence(F.lit(level * ROUNDS), F.lit(level * ROUNDS + ROUNDS - 1)),
-        F.struct(first.alias("met"), F.array().cast(f"array<{_UNIT}>").alias("done")),
+        F.slice("units", 2, F.size("units")),
+        begin,
         meet,
         lambda acc: F.concat(
-            F.transform(acc["met"], lambda x: F.struct(x["left"].alias("unit"), F.lit(False).alias("done"))),
-            F.transform(
-                F.concat(acc["done"], finished(acc["met"])),
-                lambda u: F.struct(u.alias("unit"), F.lit(True).alias("done")),
-            ),
+            F.array(F.struct(acc["left"].alias("unit"), F.lit(False).alias("done"))),
+            F.transform(acc["done"], lambda u: F.struct(u.alias("unit"), F.lit(True).alias("done"))),
         ),
     )
     return blocks.select("source", "block", F.explode(tagged).alias("x")).select("source", "block", "x.unit", "x.done")
@@ -144,108 +140,24 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     largest = plan.agg(F.max("n_units")).first()[0] or 0
     share = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)) * F.col("n")
     joined = sizes.join(plan.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))
+    wanted = joined.select("source", "h", F.col("doc_id").cast("bigint").alias("doc_id"), "size", "n", "n_units", share.alias("share"))
+    as_unit = lambda number: F.struct("size", "h", "doc_id", "n", number.cast("double").alias("copies")).alias("unit")
     block = F.pmod(F.xxhash64("h", F.lit("block")), F.ceil(F.col("n_units") / BLOCK))
-    units = joined.select(
-        "source",
-        block.alias("block"),
-        F.struct(
-            "size",
-            "h",
-            F.col("doc_id").cast("bigint").alias("doc_id"),
-            "n",
-            F.floor(share).cast("double").alias("whole"),
-            (block == 0).alias("settles"),
-            (share - F.floor(share)).alias("p"),
-        ).alias("unit"),
-    )
-    finished = []
+    units = wanted.where("size > 0").select("source", block.alias("block"), as_unit(F.col("share")))
+    every = wanted.where("size = 0").select("source", as_unit(F.floor(F.col("share") + _uniform("h", F.lit("empty")))))
     level, blocks = 0, -(-largest // BLOCK)
     while True:
-        ran = durable(_level(units, level))
-        finished.append(ran.where("done").select("source", "unit"))
+        ran = durable(_level(units, level, most))
+        every = every.union(ran.where("done").select("source", "unit"))
         units = ran.where(~F.col("done")).select("source", F.floor(F.col("block") / BLOCK).alias("block"), "unit")
         if blocks <= 1:
             break
         level, blocks = level + 1, -(-blocks // BLOCK)
-    last = units.select("source", units.unit.withField("p", F.round(units.unit.p)).alias("unit"))
-    every = last
-    for part in finished:
-        every = every.union(part)
-    return _settled(
-        every.select("source", "unit.*").join(
-            plan.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))
-        ),
-        most,
-    )
-
-
-def _settled(units: DataFrame, most: int) -> DataFrame:
-    """The last residual's rounding made good within the first block of each source.
-
-    The roots leave a source off its target by half a document at most. One bounded block of
-    the source, from its largest document to its smallest, takes or gives a copy wherever that
-    is at least as near. If that stays further off than ``NEAR``, it starts again with one copy more or
-    less of each of its ``TRIED`` largest documents, and the nearest result counts.
-    """
-    rounded = durable(
-        units.select(
-            "doc_id",
-            "source",
-            "h",
-            "size",
-            "n",
-            "source_size",
-            "target",
-            "settles",
-            (F.col("whole") + F.col("p")).cast("long").alias("copies"),
-        )
-    )
-    fields = ["doc_id", "h", "size", "n", "copies"]
-    off = rounded.groupBy("source").agg(
-        (F.sum(F.col("size") * F.col("copies")) - F.first("target")).alias("off"),
-        F.first("source_size").alias("source_size"),
-        F.first("target").alias("target"),
-        F.sort_array(
-            F.collect_list(F.when(F.col("settles"), F.struct("size", "h", "doc_id", "n", "copies"))), asc=False
-        ).alias("block"),
-    )
-
-    def settle(v: Column) -> Column:
-        """struct<miss,off,units>: variant 0 goes from the largest to the smallest; the others first change one of the largest by force."""
-        nth, sign = F.floor((v - 1) / 2).cast("int"), F.when(v % 2 == 1, -1).otherwise(1)
-        own = F.get("block", nth)
-        fits = F.coalesce((v > 0) & F.when(sign < 0, own["copies"] > 0).otherwise(own["copies"] < most * own["n"]), F.lit(False))
-        forced = F.struct(nth.alias("nth"), F.when(fits, sign).otherwise(0).alias("by"), F.coalesce(own["size"], F.lit(0)).alias("size"))
-
-        def run(force: Column) -> Column:
-            def step(acc: Column, x: Column) -> Column:
-                less = (acc["off"] * 2 >= x["size"]) & (x["copies"] > 0) & (x["size"] > 0)
-                more = (-acc["off"] * 2 >= x["size"]) & (x["copies"] < most * x["n"]) & (x["size"] > 0)
-                held = (force["by"] != 0) & (force["nth"] == F.size(acc["units"]))
-                free = F.when(held, 0).when(less, -1).when(more, 1).otherwise(0)
-                change = F.when(held, force["by"]).otherwise(free)
-                item = F.struct(*[(x[c] + change if c == "copies" else x[c]).alias(c) for c in fields])
-                return F.struct(
-                    (acc["off"] + free * x["size"]).alias("off"), F.concat(acc["units"], F.array(item)).alias("units")
-                )
-
-            zero = F.struct(
-                (F.col("off") + force["by"] * force["size"]).alias("off"),
-                F.array().cast("array<struct<doc_id:bigint,h:bigint,size:bigint,n:bigint,copies:bigint>>").alias("units"),
-            )
-            return F.aggregate("block", zero, step)
-
-        near = lambda a: (v == 0) & (F.abs(a["off"]) <= F.col("target") * NEAR)
-        return let(
-            let(forced, run),
-            lambda a: F.struct(F.when(near(a), -1.0).otherwise(F.abs(a["off"])).alias("miss"), v.alias("v"), a["units"].alias("units")),
-        )
-
-    variants = F.transform(F.sequence(F.lit(0), F.lit(2 * TRIED)), settle)
-    settled = off.select(
-        "source", "source_size", "target", F.explode(F.array_min(variants)["units"]).alias("u")
-    ).select("u.doc_id", "source", "u.h", "u.size", "u.n", "source_size", "target", "u.copies")
-    return rounded.where(~F.col("settles")).drop("settles").select(*settled.columns).union(settled)
+    last = units.select("source", F.col("unit").withField("copies", F.round("unit.copies")).alias("unit"))
+    whole_units = every.union(last).select("source", "unit.*").withColumn("copies", F.col("copies").cast("long"))
+    return whole_units.join(
+        plan.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))
+    ).select("doc_id", "source", "h", "size", "n", "source_size", "target", "copies")
 
 
 def report(docs: DataFrame) -> DataFrame:
