@@ -126,8 +126,12 @@ def positions(
     matcher: mapmatch.Matcher | None = None,
     durations: Durations = Durations(),
     rules: TripRules = TripRules(),
+    ledger: mapmatch.Ledger | None = None,
 ) -> DataFrame:
-    """Position flags and smoothed tracks, their report and map frames, trips with carbon and, given a matcher, their routes."""
+    """Position flags and smoothed tracks, their report and map frames, trips with carbon and, given a matcher, their routes.
+
+    ledger: where the matcher's answers are kept for later runs.
+    """
     spark = telemetry.sparkSession
     flagged = gps.detect(telemetry, durations.jump, clock=INGESTED)
     rows = _stored(gps.smooth(flagged, clock=INGESTED), f"{out}/positions")
@@ -155,7 +159,7 @@ def positions(
     sinks.write_csv(segments.orderBy(DEVICE, "start_ts"), f"{out}/trip_segments")
     sinks.write_csv(trips.with_carbon(segments).orderBy(DEVICE, "start_ts"), f"{out}/trip_carbon_credits")
     if matcher is not None:
-        sinks.write_csv(mapmatch.match_trips(rows, segments, matcher, clock=INGESTED), f"{out}/trip_route_matching")
+        sinks.write_csv(mapmatch.match_trips(rows, segments, matcher, clock=INGESTED, ledger=ledger), f"{out}/trip_route_matching")
     return segments
 
 
@@ -165,6 +169,7 @@ def main(arguments: list[str] | None = None) -> None:
     for name in ("raw", "out", "salt"):
         parser.add_argument(f"--{name}", required=True)
     parser.add_argument("--matcher", help="address of a routing service; without it no trip is matched")
+    parser.add_argument("--ledger", help="folder of the routing service's answers, kept for later runs")
     chosen = parser.parse_args(arguments)
     spark = session()
     ship(spark)
@@ -174,7 +179,12 @@ def main(arguments: list[str] | None = None) -> None:
     if chosen.job in ("soc", "all"):
         soc_models(telemetry, chosen.out)
     if chosen.job in ("positions", "all"):
-        positions(telemetry, chosen.out, mapmatch.http_matcher(chosen.matcher) if chosen.matcher else None)
+        positions(
+            telemetry,
+            chosen.out,
+            mapmatch.http_matcher(chosen.matcher) if chosen.matcher else None,
+            ledger=mapmatch.Ledger(chosen.ledger) if chosen.ledger else None,
+        )
 
 
 if __name__ == "__main__":

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ampflow.functions.geo import finite, haversine_km
+from ampflow.operators.smoothing import kalman_axis, smoothed
 from ampflow.operators.timeseries import DEVICE, KEY, PLAIN, TIME, Clock, seconds_between, with_run
 from ampflow.schema import SECOND, Kalman
 
@@ -78,34 +79,25 @@ def jump_severity(flagged: DataFrame, under_sec: float = 60.0) -> DataFrame:
     return flagged.where(jump).select(DEVICE, TIME, "delta_km_haversine", "delta_sec")
 
 
-def kalman_axis(values: list[float | None], x: float, p: float, noise: Kalman) -> tuple[list[float], float, float]:
-    """A random walk seen through noise, from the state (x, p): the positions and the state after them.
-
-    Rows without a value only predict.
-    """
-    out = []
-    for z in values:
-        p += noise.process
-        if z is not None:
-            gain = p / (p + noise.measurement)
-            x += gain * (z - x)
-            p *= 1 - gain
-        out.append(x)
-    return out, x, p
-
-
-def smooth(df: DataFrame, noise: Kalman = Kalman(), mask_dropouts: bool = False, clock: Clock = PLAIN) -> DataFrame:
+def smooth(
+    df: DataFrame, noise: Kalman = Kalman(), mask_dropouts: bool = False, clock: Clock = PLAIN, block: int | None = None
+) -> DataFrame:
     """Adds gps_lat_smooth and gps_lon_smooth.
 
     The filter starts at the device's first row with both coordinates, else at the first of each, else at 0; a window
     finds that place. The recursion has no relational form: Arrow batches of a partition, sorted by device and time, pass
     through it one by one, and the state goes from batch to batch, so a device of any length needs the memory of one batch.
-    mask_dropouts: fixes at (0, 0) only predict.
+    mask_dropouts: fixes at (0, 0) only predict. block: microseconds; splits long devices over tasks.
     """
     rows = clock.keyed(df)
     own = [c for c in rows.columns if c != KEY]
     hidden = dropped_out() & F.lit(mask_dropouts)
     seen = rows.select("*", *[F.when(finite(F.col(c)) & ~hidden, F.col(c).cast("double")).alias(f"__{c}") for c in PLACE])
+    fields = T.StructType([rows.schema[c] for c in own])
+    for c in PLACE:
+        fields = fields.add(f"{c}_smooth", T.DoubleType())
+    if block is not None:
+        return smoothed(seen, own, fields, noise, clock, block)
     whole = clock.window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = lambda c: F.first(c, ignorenulls=True).over(whole)
     both = F.when(F.col("__gps_lat").isNotNull() & F.col("__gps_lon").isNotNull(), F.struct("__gps_lat", "__gps_lon"))
@@ -114,9 +106,6 @@ def smooth(df: DataFrame, noise: Kalman = Kalman(), mask_dropouts: bool = False,
         *[f"__{c}" for c in PLACE],
         *[F.coalesce(F.col("__both")[f"__{c}"], f"__first_{c}", F.lit(0.0)).alias(f"__from_{c}") for c in PLACE],
     )
-    fields = T.StructType([rows.schema[c] for c in own])
-    for c in PLACE:
-        fields = fields.add(f"{c}_smooth", T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         device, state = None, {}

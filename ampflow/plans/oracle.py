@@ -376,6 +376,7 @@ def oracle_sql() -> dict[str, str]:
             f"{DELTAS} " + " UNION ALL ".join(f"SELECT device_id, '{b}' AS anomaly, count(*) FILTER ({a}) AS n FROM f GROUP BY device_id" for a, b in names)
         ),
         "kalman_smooth": _t(_kalman(), recursive=True),
+        "kalman_smooth_split": _t(_kalman(), recursive=True),
         "stop_duration": _t(f"{STOPS} SELECT device_id, ts, round(stop_sec, 6) AS stop_sec FROM p"),
         "trip_labels": _t(
             f"{TRIP_ROWS} SELECT device_id, ts, CASE WHEN seq IS NOT NULL THEN device_id || '_' || seq END AS trip_id FROM l", recursive=True

@@ -12,11 +12,13 @@ from ampflow.functions.geo import haversine_km
 from ampflow.operators import anomaly, attribution, eda, features, forest, gps, mapmatch, models, quality, recurrent, trips
 from ampflow.operators import timeseries as ts
 from ampflow.plans.fixture import DURATIONS, SALT, TRIPS, telemetry
-from ampflow.schema import BATTERY_FIELDS, FEATURES, GPS_FIELDS
+from ampflow.schema import BATTERY_FIELDS, FEATURES, GPS_FIELDS, SECOND
 from ampflow.sources import messages
 
 Query = Callable[[SparkSession, str], DataFrame]
 PLAIN = ts.PLAIN
+#: A long device is smoothed in blocks of so many microseconds.
+WEEK = 7 * 24 * 3600 * SECOND
 #: Positions that the road matcher takes of a trip.
 TRACK_POINTS = 50
 
@@ -183,6 +185,9 @@ def queries() -> dict[str, Query]:
         "kalman_smooth": lambda t: gps.smooth(t.select("device_id", "ts", "gps_lat", "gps_lon")).select(
             "device_id", "ts", "gps_lat_smooth", "gps_lon_smooth"
         ),
+        "kalman_smooth_split": lambda t: gps.smooth(t.select("device_id", "ts", "gps_lat", "gps_lon"), block=WEEK).select(
+            "device_id", "ts", "gps_lat_smooth", "gps_lon_smooth"
+        ),
         # Trips
         "stop_duration": lambda t: trips.with_stop_sec(t, TRIPS).select("device_id", "ts", "stop_sec"),
         "trip_labels": lambda t: trips.label(t, TRIPS).select("device_id", "ts", "trip_id"),
