@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding over a minimal acyclic transducer of frequent words.
 
-1. Frequent words: every document is cut into pieces; a task counts them, and whenever it holds
-   ``HELD`` distinct ones it reports those that make up at least ``SHARE`` of what it has counted since its last
+1. Frequent words: every document is cut into pieces, pieces of over ``SHORT`` characters (as in scripts without spaces) into
+   words, and what is longer even then is not counted; a task counts the rest, and whenever it holds ``HELD`` distinct ones it reports those that make up at least ``SHARE`` of what it has counted since its last
    report. Spark sums the reports. A piece with that share of all pieces has it in at least one report, and
    at most 1 / SHARE pieces can pass the sum, so the lexicon is bounded by construction, whatever the input.
 2. Lexicon: the driver compiles their words, with their ids, into a minimal acyclic transducer: equal
@@ -31,7 +31,7 @@ import shutil
 import tempfile
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +100,30 @@ def piece_of(key: str) -> str:
     return key[1:] if key[0] == " " else " " + key
 
 
+@functools.cache
+def _splitter() -> Callable[[str], list]:
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    return ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+
+
+def words_of(piece: str) -> list[str]:
+    """The words of a piece, in order."""
+    if PLAIN.fullmatch(piece):
+        return PLAIN_PATTERN.findall(piece)
+    return [piece[a:b] for _, (a, b) in _splitter()(piece)]
+
+
+def counted_keys(text: str) -> list[str]:
+    """The keys that count for the lexicon: short pieces, and of longer ones the short words, as pieces of their own."""
+    keys = keys_of(text)
+    if max(map(len, keys), default=0) <= SHORT:
+        return keys
+    words = [w for k in keys if len(k) > SHORT for w in words_of(piece_of(k)) if len(w) <= SHORT]
+    own = [w[1:] if w[0] == " " and w[1:].strip() else " " + w for w in words]
+    return [k for k in keys if len(k) <= SHORT] + own
+
+
 def _packed(arrays: list) -> bytes:
     """Flat arrays of 64-bit numbers, after their lengths."""
     parts = [np.asarray(x, "<i8") for x in arrays]
@@ -336,10 +360,7 @@ class Encoder:
     """Encodes whole texts; each distinct word of a group of texts is resolved once, and short ones are remembered."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, special: dict[str, int]):
-        from tokenizers.pre_tokenizers import ByteLevel
-
         self.vocabulary, self.lexicon, self.special = vocabulary, lexicon, special
-        self.split_rare = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         longest = sorted(special, key=len, reverse=True)
         self.parts = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if special else None
         self.digits = [str(i) for i in range(1 + max(vocabulary.bytes))]
@@ -358,13 +379,7 @@ class Encoder:
     def plain_words(self, text: str) -> list[str]:
         if PLAIN.fullmatch(text):
             return PLAIN_PATTERN.findall(text)
-        out: list[str] = []
-        for piece in map(piece_of, keys_of(text)):
-            if PLAIN.fullmatch(piece):
-                out += PLAIN_PATTERN.findall(piece)
-            else:
-                out += [piece[a:b] for _, (a, b) in self.split_rare(piece)]
-        return out
+        return [w for piece in map(piece_of, keys_of(text)) for w in words_of(piece)]
 
     def learn(self, words: list[str]) -> None:
         """Resolves words that are not remembered."""
@@ -432,14 +447,14 @@ def frequent_words(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def report(seen: Counter) -> pa.RecordBatch:
             total = seen.total()
-            often = [(piece_of(k), n) for k, n in seen.items() if n >= total * SHARE and len(k) <= SHORT]
+            often = [(piece_of(k), n) for k, n in seen.items() if n >= total * SHARE]
             words = pa.array([w for w, _ in often] + [None], pa.string())
             return pa.record_batch([words, pa.array([n for _, n in often] + [total], pa.int64())], ["word", "n"])
 
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):
-                seen.update(keys_of(text.as_py() or ""))
+                seen.update(counted_keys(text.as_py() or ""))
                 if len(seen) > HELD:
                     yield report(seen)
                     seen.clear()
@@ -454,12 +469,7 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary) -> bytes:
     reported = durable(frequent_words(docs))
     total = reported.where("word is null").agg(F.sum("n").alias("total"))
     often = reported.where("word is not null").where(F.col("n") >= F.coalesce(total.scalar(), F.lit(0)) * SHARE)
-    words = {
-        word.encode()
-        for row in often.select("word").collect()
-        if PLAIN.fullmatch(row.word)
-        for word in PLAIN_PATTERN.findall(row.word)
-    }
+    words = {word.encode() for row in often.select("word").collect() for word in words_of(row.word)}
     ordered = sorted(words)
     return compile_lexicon(dict(zip(ordered, vocabulary.merge(ordered))))
 

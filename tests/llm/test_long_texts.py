@@ -42,6 +42,30 @@ def test_long_texts_of_other_scripts_as_the_library(spark):
         assert r.ids_sha256 == sha(",".join(map(str, ids)))
 
 
+def test_words_of_every_script_are_in_the_lexicon(spark):
+    import json
+
+    with open(TOKENIZER, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocabulary = bpe.Vocabulary(bpe._kept("merges", bpe.Vocabulary.compiled(spec)))
+    texts = ["привет мир", "καλημέρα κόσμε", "今天天气很好，我们去公园散步。" * 6, "hello world, " * 9, "字" * 400, "a" * 400] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lexicon = bpe.Lexicon(bpe._kept("lexicon", bpe.build_lexicon(docs, vocabulary)))
+    words = [w.encode() for w in (" мир", "привет", "καλημέρα", " κόσμε", "今天天气很好", "我们去公园散步", " world")]
+    assert lexicon.find(words) == vocabulary.merge(words)
+    assert lexicon.find([("字" * 400).encode(), b"a" * 400]) == [None, None]
+    library = Tokenizer.from_file(TOKENIZER)
+    for r in bpe.encoded(docs, TOKENIZER, with_ids=True).collect():
+        assert list(r.ids) == library.encode(texts[r.doc_id], add_special_tokens=False).ids
+
+
+def test_unspaced_texts_are_counted_by_short_words_only():
+    text = "，".join(["今天天气很好" * 20, "我们去"]) + " короткое"
+    assert bpe.counted_keys(text) == ["короткое", " ，", " 我们去"]
+    assert all(len(k) <= bpe.SHORT + 1 for k in bpe.counted_keys("字" * 100_000 + " " + "x" * 100_000))
+    assert bpe.counted_keys("") == [] and bpe.counted_keys("a b") == bpe.keys_of("a b")
+
+
 def test_an_encoder_that_forgets_gives_the_same_ids(monkeypatch):
     import json
 
