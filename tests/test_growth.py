@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ampflow.operators import features, quantiles
+from ampflow.operators import boosting, features, models, quantiles
 from ampflow.operators import timeseries as ts
 from ampflow.plans import queries
 
@@ -41,3 +41,18 @@ def test_the_late_times_are_searched_only_without_tails(spark, monkeypatch):
     rows = spark.createDataFrame([("d", i) for i in range(20)], "device_id string, s long").selectExpr("device_id", "timestamp_seconds(s) AS ts")
     assert features.with_validation(rows).where("is_valid = 1").count() == 3 and not found
     assert features.with_validation(rows, least=30).where("is_valid = 1").count() == 2 and found
+
+
+def test_a_grid_grows_once_and_a_tree_takes_as_many_passes_as_levels(spark, monkeypatch):
+    rows = features.with_split(features.soc_dataset(queries.telemetry(spark, FOLDER), queries.DURATIONS)).where("is_test = 0").cache()
+    grown, passes = [], []
+    grow, summed = boosting.Trainer.grow, boosting._Spread.summed
+    monkeypatch.setattr(boosting.Trainer, "grow", lambda s, *a: grown.append(a) or grow(s, *a))
+    monkeypatch.setattr(boosting._Spread, "summed", lambda s, of: passes.append(of.func.__name__) or summed(s, of))
+    grid = {"stepSize": (0.1, 0.3), "maxDepth": (2, 3), "maxIter": (2, 4)}
+    found = models.train_trees(rows, grid, local_rows=0)
+    assert len(grown) == 1 and passes.count("level_sums") == 3 * 4
+    alone = {k: (found.settings[k],) for k in grid}
+    again = models.train_trees(rows, alone, local_rows=0).model
+    assert len(again.trees) == len(found.model.trees)
+    assert all((a.feature == b.feature).all() and a.value == pytest.approx(b.value) for a, b in zip(again.trees, found.model.trees))
