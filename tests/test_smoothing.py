@@ -65,3 +65,14 @@ def test_a_device_of_a_million_rows_uses_several_tasks(spark):
         values = [None if np.isnan(v) else v for v in found[c]]
         first = found[c][found.gps_lat.notna()].iloc[0]
         assert np.abs(found[f"{c}_smooth"].to_numpy() - loop(values, first)).max() < 1e-9
+
+
+def test_short_blocks_are_no_groups_of_their_own(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows, starts = smoothing.maps(np.where(rng.random(500) < 0.2, np.nan, rng.normal(size=500)), Kalman()), np.array([0, 1, 2, 9, 10, 300, 499])
+    got = smoothing.composed_each(rows, starts)
+    want = [smoothing.composed_all(rows[:, a:b]) for a, b in zip(starts, [*starts[1:], 500])]
+    assert got == pytest.approx(np.stack(want, axis=1), rel=1e-9)
+    df = spark.range(300).selectExpr("cast(id % 60 AS string) AS device_id", "timestamp_seconds(id * 100) AS ts", "11.0 + id / 1e4 AS gps_lat", "76.0 - id / 1e4 AS gps_lon")
+    plan = gps.smooth(df, block=3600 * SECOND)._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
