@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ampflow.operators.features import with_energy
-from ampflow.operators.timeseries import DEVICE, PLAIN, TIME, Clock, Rolling, gathered, spread, with_rolling
+from ampflow.operators.timeseries import DEVICE, PLAIN, TIME, Clock, Rolling, dealt, gathered, spread, with_rolling
 from ampflow.schema import Durations
 
 NEEDED = (
@@ -21,7 +21,8 @@ def prepared(df: DataFrame, durations: Durations = Durations(), clock: Clock = P
 
     block: microseconds; splits long devices over tasks (``timeseries.spread``).
     """
-    keyed = clock.keyed(df.select(*NEEDED, *clock.tie, *[c for c in df.columns if c == "confidence"]))
+    needed = df.select(*NEEDED, *clock.tie, *[c for c in df.columns if c == "confidence"])
+    keyed = clock.keyed(needed if block is not None else dealt(needed, clock.by, df.count()))
     if block is not None:
         # a mean of discharges reaches back over those, and each of them over its lag
         keyed, clock = spread(keyed, clock, block, max(durations.lag + durations.medium, durations.long))

@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,25 +52,30 @@ def grow(rows: np.ndarray, random: np.random.Generator, limit: int) -> np.ndarra
 def paths(trees: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
     """The mean path length of each row."""
     total = np.zeros(len(rows))
-    every = np.arange(len(rows))
+    flat, starts = np.ascontiguousarray(rows, float).ravel(), np.arange(len(rows)) * rows.shape[1]
     for tree in trees:
-        at = np.zeros(len(rows), int)
-        while True:
-            column = tree[at, 0].astype(int)
-            inner = column >= 0
-            if not inner.any():
-                break
-            goes_left = rows[every, np.maximum(column, 0)] < tree[at, 1]
-            at = np.where(inner, np.where(goes_left, tree[at, 2], tree[at, 3]).astype(int), at)
-        total += tree[at, 4]
+        column, leaf, own = np.maximum(tree[:, 0], 0).astype(np.int64), tree[:, 0] < 0, np.arange(len(tree))
+        cut, length = tree[:, 1], tree[:, 4]
+        # A leaf leads to itself.
+        then = np.where(leaf[:, None], own[:, None], tree[:, [3, 2]].astype(np.int64)).ravel()
+        at = np.zeros(len(rows), np.int64)
+        while not leaf[at].all():
+            at = then[2 * at + (flat[starts + column[at]] < cut[at])]
+        total += length[at]
     return total / len(trees)
 
 
+_score_paths = paths
+
+
 def confidence(df: DataFrame, columns: tuple[str, ...], trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """Adds confidence (0 to 1): 1 for the most isolated row, 0 for the least; 0 everywhere if all are alike.
 
-    Nulls of the first column count as 0, those of the others as the column's median.
+    Nulls of the first column count as 0, those of the others as the column's median. The rows are kept while several passes read
+    them, and with their scores afterwards, so that no row is scored twice.
     """
+    mine = df.storageLevel == StorageLevel.NONE
+    df = df.persist(StorageLevel.MEMORY_AND_DISK) if mine else df
     medians = exact_quantiles(df, {c: F.col(c) for c in columns[1:]}, (0.5,))
     fill = lambda c: F.lit(0.0) if c == columns[0] else F.lit(medians[c][0] or 0.0)
     filled = df.select("*", F.array(*[F.coalesce(F.col(c).cast("double"), fill(c)) for c in columns]).alias("__x"))
@@ -80,15 +86,16 @@ def confidence(df: DataFrame, columns: tuple[str, ...], trees: int = TREES, samp
         return df.withColumn("confidence", F.lit(0.0))
     size, forest = max(g[1] for g in grown), [g[2] for g in grown]
     shared = df.sparkSession.sparkContext.broadcast(forest)
-    unit = expected_path(size) or 1.0
+    unit, mean = expected_path(size) or 1.0, _score_paths
 
     @F.pandas_udf(T.DoubleType())
     def isolation(x: pd.Series) -> pd.Series:
-        return pd.Series(2.0 ** (-paths(shared.value, np.stack(x.to_numpy())) / unit)) if len(x) else pd.Series([], dtype=float)
+        return pd.Series(2.0 ** (-mean(shared.value, np.stack(x.to_numpy())) / unit)) if len(x) else pd.Series([], dtype=float)
 
-    scored = filled.select("*", isolation("__x").alias("__score"))
-    span = scored.agg(F.min("__score").alias("low"), F.max("__score").alias("high"))
-    low, high = span.select("low").scalar(), span.select("high").scalar()
+    scored = filled.select(*df.columns, isolation("__x").alias("__score")).persist(StorageLevel.MEMORY_AND_DISK)
+    low, high = map(F.lit, scored.agg(F.min("__score"), F.max("__score")).first())
+    if mine:
+        df.unpersist()
     return scored.select(*df.columns, _stretched(F.col("__score"), low, high).alias("confidence"))
 
 

@@ -32,3 +32,15 @@ def test_the_odd_row_has_the_highest_confidence(spark):
     alike = forest.confidence(spark.range(50).select(*[F.lit(1.0).alias(c) for c in "abcd"]), tuple("abcd"))
     assert alike.select("confidence").distinct().collect()[0][0] == 0.0
     assert forest.confidence(table(spark, 10).where("false"), tuple("abcd")).count() == 0
+
+
+def test_no_row_is_scored_twice(spark, tmp_path, monkeypatch):
+    def noted(trees, rows, paths=forest.paths, folder=str(tmp_path)):
+        import tempfile
+        with tempfile.NamedTemporaryFile("w", dir=folder, delete=False) as f:
+            f.write(str(len(rows)))
+        return paths(trees, rows)
+
+    monkeypatch.setattr(forest, "_score_paths", noted)
+    assert forest.confidence(table(spark, 500), tuple("abcd"), trees=5).where("confidence >= 0").count() == 500
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 500
